@@ -12,30 +12,31 @@ from datetime import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 _TIME = r"([ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?"
 _YEAR_LAST = rf"^(\d{{1,2}})[/.\-](\d{{1,2}})[/.\-](\d{{4}}){_TIME}$"
 _YEAR_FIRST = rf"^(\d{{4}})[/.\-](\d{{1,2}})[/.\-](\d{{1,2}}){_TIME}$"
+_NORMAL = rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}{_TIME}$"
 
 # Fixed pattern: what a value must contain before a column is tested for dates.
 DATE_LIKE = r"\d{1,4}[/\-.]\d{1,2}[/\-.]\d{1,4}"
 
 
-def _shape(c: Column, pattern: str, layout: str) -> Column:
-    return F.when(c.rlike(pattern), F.regexp_replace(c, pattern, layout).try_cast("timestamp_ntz"))
+def _normalised(s: Column, year_last: str) -> Column:
+    """Timestamp of a value in one of the shapes, read with one day/month order."""
+    s = F.regexp_replace(s, _YEAR_LAST, year_last)
+    s = F.regexp_replace(s, _YEAR_FIRST, "$1-$2-$3$4")
+    # The extraction keeps out what the cast alone would take, such as a bare year
+    return F.regexp_extract(s, _NORMAL, 0).try_cast("timestamp_ntz")
 
 
 def parse_date(c: Column, day_first: bool = True) -> Column:
     """Timestamp from mixed date formats; the other day/month order is the fallback."""
-    from .text import strip
-
     s = strip(c)
-    day_month, month_day = "$3-$2-$1$4", "$3-$1-$2$4"
-    orders = (day_month, month_day) if day_first else (month_day, day_month)
-    return F.coalesce(
-        _shape(s, _YEAR_LAST, orders[0]),
-        _shape(s, _YEAR_FIRST, "$1-$2-$3$4"),
-        _shape(s, _YEAR_LAST, orders[1]),
-    )
+    orders = ("$3-$2-$1$4", "$3-$1-$2$4")
+    first, second = orders if day_first else orders[::-1]
+    return F.coalesce(_normalised(s, first), _normalised(s, second))
 
 
 def parse_date_format(c: Column, layout: str) -> Column:

@@ -22,7 +22,8 @@ def parse_number(c: Column, decimal_comma: bool = False) -> Column:
     s = F.regexp_replace(c, r"(?U)[R$%\s\x1c-\x1f]", "")
     if decimal_comma:
         s = F.translate(s, ",.", ".")
-    return F.when(s.rlike(PLAIN_NUMBER), s.try_cast("double"))
+    # The extraction is the guard: no match gives '', which casts to null
+    return F.regexp_extract(s, PLAIN_NUMBER, 0).try_cast("double")
 
 
 def clean_value(c: Column) -> Column:

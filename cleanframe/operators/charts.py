@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -176,10 +178,7 @@ def stats_comparison(before: DataFrame, after: DataFrame, column: str) -> DataFr
 
 
 def density_comparison(before: DataFrame, after: DataFrame, column: str, points: int = GRID_POINTS) -> DataFrame:
-    """Rows ``(moment, value, density)``: Gaussian density of both sides on a shared grid.
-
-    Each side is one aggregate with a sum per grid point; no row is multiplied.
-    """
+    """Rows ``(moment, value, density)``: Gaussian density of both sides on a shared grid."""
     sides = {"before": before, "after": after}
     stats = {m: numeric_stats(d, [column])[column] for m, d in sides.items()}
     known = [s for s in stats.values() if s.n]
@@ -193,6 +192,8 @@ def density_comparison(before: DataFrame, after: DataFrame, column: str, points:
 
 
 def _density(df: DataFrame, column: str, s: NumericStats, grid: list[float]) -> DataFrame:
+    """Density over all values. Each task adds up its rows in Arrow batches and hands on
+    one number per grid point, so the shuffle does not grow with the table."""
     x = quoted(column).cast("double")
     std = s.std or 0.0
     iqr = s.q3 - s.q1 if s.n > 1 else 0.0
@@ -202,14 +203,22 @@ def _density(df: DataFrame, column: str, s: NumericStats, grid: list[float]) ->
         rows = [F.struct(F.lit(g).alias("value"), F.lit(0.0).alias("density")) for g in grid]
         return df.sparkSession.range(1).select(F.inline(F.array(*rows)))
     width = 0.9 * spread * s.n ** (-1 / 5)
+    marks = np.array(grid) / width
+
+    def partial(batches):
+        total = np.zeros(len(marks))
+        for batch in batches:
+            z = batch["z"].to_numpy()
+            for start in range(0, len(z), 2_048):
+                d = z[start:start + 2_048, None] - marks[None, :]
+                total += np.exp(-0.5 * d * d).sum(axis=0)
+        yield pd.DataFrame({"point": np.arange(len(marks)), "part": total})
+
     scaled = df.where(x.isNotNull()).select((x / width).alias("z"))
-    sums = []
-    for i, g in enumerate(grid):
-        d = F.col("z") - F.lit(g / width)
-        sums.append(F.sum(F.exp(d * d * -0.5)).alias(f"d{i}"))
+    parts = scaled.mapInPandas(partial, "point long, part double").groupBy("point").agg(F.sum("part").alias("total"))
     scale = s.n * width * math.sqrt(2 * math.pi)
-    rows = [F.struct(F.lit(g).alias("value"), (F.col(f"d{i}") / scale).alias("density")) for i, g in enumerate(grid)]
-    return scaled.agg(*sums).select(F.inline(F.array(*rows)))
+    value = F.element_at(F.array(*[F.lit(g) for g in grid]), (F.col("point") + 1).cast("int"))
+    return parts.select(value.alias("value"), (F.col("total") / scale).alias("density"))
 
 
 # --- categories and correlation -----------------------------------------------------------------
@@ -238,37 +247,84 @@ def top_values(df: DataFrame, column: str, n: int = 10) -> DataFrame:
     return rows.select("r.value", "r.rows", F.bround(F.col("r.rows") * 100.0 / F.col("all"), 1).alias("pct"), "r.others")
 
 
-def _correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row with ``r<i>_<j>`` for every pair: Pearson over rows where both are present."""
-    measures = []
-    for i, a in enumerate(columns):
-        for j in range(i, len(columns)):
-            x, y = quoted(a).cast("double"), quoted(columns[j]).cast("double")
-            spread_x = F.stddev_samp(F.when(y.isNotNull(), x))
-            spread_y = F.stddev_samp(F.when(x.isNotNull(), y))
-            measures.append(F.try_divide(F.covar_samp(x, y), spread_x * spread_y).alias(f"r{i}_{j}"))
-    return df.agg(*measures)
+def correlations(df: DataFrame, columns: list[str]) -> dict[tuple[int, int], float | None]:
+    """Pearson correlation of every pair over the rows where both are present; None
+    where a side is constant there.
+
+    Two aggregates: means first, then plain sums of the deviations from them. A pair of
+    columns without nulls adds a single sum to the second one.
+    """
+    if not columns:
+        return {}
+    size = len(columns)
+    x = [quoted(n).cast("double") for n in columns]
+    measures = [F.count(F.lit(1)).alias("rows")]
+    for i, c in enumerate(x):
+        measures += [F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
+    first = df.agg(*measures).first()
+    full = [first[f"n{i}"] == first["rows"] for i in range(size)]
+    d = [c - F.lit(first[f"m{i}"]) for i, c in enumerate(x)]
+
+    sums = []
+    for i in range(size):
+        sums += [F.sum(d[i]).alias(f"s{i}"), F.sum(d[i] * d[i]).alias(f"q{i}")]
+        for j in range(i + 1, size):
+            sums.append(F.sum(d[i] * d[j]).alias(f"p{i}_{j}"))
+            if full[i] and full[j]:
+                continue
+            # A null in the other column makes the term null and leaves it out
+            here, there = d[i] + d[j] * 0, d[j] + d[i] * 0
+            sums += [
+                F.count(here).alias(f"c{i}_{j}"),
+                F.sum(here).alias(f"a{i}_{j}"), F.sum(here * here).alias(f"aa{i}_{j}"),
+                F.sum(there).alias(f"b{i}_{j}"), F.sum(there * there).alias(f"bb{i}_{j}"),
+                F.min(here).alias(f"alo{i}_{j}"), F.max(here).alias(f"ahi{i}_{j}"),
+                F.min(there).alias(f"blo{i}_{j}"), F.max(there).alias(f"bhi{i}_{j}"),
+            ]
+    second = df.agg(*sums).first()
+    constant = [first[f"lo{i}"] == first[f"hi{i}"] for i in range(size)]
+    result: dict[tuple[int, int], float | None] = {}
+    for i in range(size):
+        result[i, i] = None if constant[i] or first[f"n{i}"] < 2 else 1.0
+        for j in range(i + 1, size):
+            if full[i] and full[j]:
+                n, flat = first["rows"], constant[i] or constant[j]
+                a, aa, b, bb = (second[k] for k in (f"s{i}", f"q{i}", f"s{j}", f"q{j}"))
+            else:
+                n = second[f"c{i}_{j}"]
+                a, aa, b, bb = (second[f"{k}{i}_{j}"] for k in ("a", "aa", "b", "bb"))
+                flat = any(second[f"{k}lo{i}_{j}"] == second[f"{k}hi{i}_{j}"] for k in ("a", "b"))
+            if n < 2 or flat:
+                result[i, j] = None
+                continue
+            spread = math.sqrt((aa - a * a / n) * (bb - b * b / n))
+            result[i, j] = max(-1.0, min(1.0, (second[f"p{i}_{j}"] - a * b / n) / spread)) if spread else None
+    return result
+
+
+def _rounded(value: float | None, digits: int) -> float | None:
+    return None if value is None else round(value, digits) + 0.0  # no negative zero
 
 
 def correlation_matrix(df: DataFrame, max_columns: int = CORRELATED) -> DataFrame:
     """Wide matrix of the first numeric columns, three decimals; null for constant columns."""
     names = numeric_columns(df)[:max_columns]
+    r = correlations(df, names)
     rows = [
-        F.struct(
-            F.lit(a).alias("column"),
-            *[F.bround(F.col(f"r{min(i, j)}_{max(i, j)}"), 3).alias(b) for j, b in enumerate(names)],
-        )
-        for i, a in enumerate(names)
+        {"column": a, **{b: _rounded(r[min(i, j), max(i, j)], 3) for j, b in enumerate(names)}} for i, a in enumerate(names)
     ]
-    return _correlations(df, names).select(F.inline(F.array(*rows)))
+    return small_frame(df.sparkSession, rows, pa.schema([("column", pa.string())] + [(n, pa.float64()) for n in names]))
 
 
 def correlation_pairs(df: DataFrame, max_columns: int = CORRELATED) -> DataFrame:
     """Rows ``(x, y, r, strength)`` for every ordered pair with a correlation, two decimals."""
     names = numeric_columns(df)[:max_columns]
-    rows = [
-        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.bround(F.col(f"r{min(i, j)}_{max(i, j)}"), 2).alias("r"))
-        for i, a in enumerate(names)
-        for j, b in enumerate(names)
-    ]
-    return _correlations(df, names).select(F.inline(F.array(*rows))).where("r is not null").withColumn("strength", F.abs("r"))
+    r = correlations(df, names)
+    rows = []
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            value = _rounded(r[min(i, j), max(i, j)], 2)
+            if value is not None:
+                rows.append({"x": a, "y": b, "r": value, "strength": abs(value)})
+    schema = pa.schema([("x", pa.string()), ("y", pa.string()), ("r", pa.float64()), ("strength", pa.float64())])
+    return small_frame(df.sparkSession, rows, schema)

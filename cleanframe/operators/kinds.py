@@ -98,7 +98,8 @@ def infer_kinds(
             F.count(numbers.parse_number(v, True)).alias(f"numcomma{i}"),
             F.count(numbers.parse_number(v, False)).alias(f"numdot{i}"),
             _count(v.rlike(dates.DATE_LIKE)).alias(f"datelike{i}"),
-            F.count(dates.parse_date(v)).alias(f"date{i}"),
+            # Whatever parses as a date also looks like one
+            F.count(F.when(v.rlike(dates.DATE_LIKE), dates.parse_date(v))).alias(f"date{i}"),
             F.approx_count_distinct(v, _SKETCH_ERROR).alias(f"distinct{i}"),
         ]
     seen = values.agg(*measures).first()

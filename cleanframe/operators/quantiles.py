@@ -1,11 +1,12 @@
 """Exact quantiles of many columns at any size.
 
-``percentile`` keeps every distinct value of a column in one buffer, so it is used only
-where the counted values fit a budget. Beyond it the wanted ranks are bracketed with a
-bounded sketch, the rows around the bracket are counted exactly, and the bracket shrinks
-pass by pass until what is left inside fits the budget. Each pass is one scan with one
-aggregate and no row shuffle; the sketch only steers, the counts decide, so the result is
-exact whatever the sketch error.
+``percentile`` keeps every distinct value of a column in one buffer, which no executor can
+hold for a large table. Where the counted values fit a budget, a sketch that drops nothing
+gives the exact ranks. Beyond it the wanted ranks are bracketed with a bounded sketch, the
+values around the bracket are counted exactly, and the bracket shrinks pass by pass until
+what is left inside fits the budget. Each pass is one scan with one aggregate and no row
+shuffle; the sketch only steers, the counts decide, so the result is exact whatever the
+sketch error.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from ..schema import quoted
 
 VALUE_BUDGET = 4_000_000  # values one aggregate may hold over all columns
 _ACCURACY = 10_000
-_GRID = 200
+_SLACK = 1.5 / _ACCURACY  # wider than the sketch error
 
 
 @dataclass
@@ -29,14 +30,13 @@ class _Target:
 
     name: str
     rank: int
-    low: float | None = None
-    high: float | None = None
-    floor: float | None = None  # bounds already known to hold the rank
-    ceiling: float | None = None
-    offset: int = 0
-    inside: int = 0
+    low: float  # bracket to be counted
+    high: float
+    floor: float  # bounds known to hold the rank
+    ceiling: float
+    offset: int = 0  # values up to and including ``floor``
+    inside: int = 0  # values strictly between ``floor`` and ``ceiling``
     value: float | None = None
-    final: bool = False
 
 
 def _ranks(p: float, n: int) -> tuple[int, int, float]:
@@ -56,25 +56,14 @@ def exact_quantiles(
     for n in sorted(live, key=lambda n: counts[n]):
         spent += counts[n]
         (small if spent <= budget else large)[n] = live[n]
-    if small:
-        names = list(small)
-        row = df.agg(
-            *[
-                F.percentile(_number(n), F.array(*[F.lit(float(p)) for p in small[n]])).alias(f"q{i}")
-                for i, n in enumerate(names)
-            ]
-        ).first()
-        for i, n in enumerate(names):
-            result[n] = list(row[f"q{i}"])
-    if large:
-        found = order_statistics(
-            df, {n: sorted({r for p in ps for r in _ranks(p, counts[n])[:2]}) for n, ps in large.items()}, counts, budget
-        )
-        for n, ps in large.items():
-            for j, p in enumerate(ps):
-                low, high, part = _ranks(p, counts[n])
-                a, b = found[n, low], found[n, high]
-                result[n][j] = a if part == 0 or a == b else a + (b - a) * part
+    ranks = {n: sorted({r for p in ps for r in _ranks(p, counts[n])[:2]}) for n, ps in live.items()}
+    found = _ranked_values(df, {n: ranks[n] for n in small}, counts)
+    found.update(order_statistics(df, {n: ranks[n] for n in large}, counts, budget))
+    for n, ps in live.items():
+        for j, p in enumerate(ps):
+            low, high, part = _ranks(p, counts[n])
+            a, b = found[n, low], found[n, high]
+            result[n][j] = a if part == 0 or a == b else a + (b - a) * part
     return result
 
 
@@ -82,60 +71,86 @@ def _number(name: str) -> Column:
     return quoted(name).cast("double")
 
 
+def _rank_array(ranks: list[int], n: int) -> Column:
+    """Fractions in the middle of each rank, so that rounding cannot reach a neighbour."""
+    return F.array(*[F.lit((r + 0.5) / n) for r in ranks])
+
+
+def _keeps_all(n: int) -> Column:
+    """Sketch accuracy at which ``n`` values are all kept and ranks are exact."""
+    return F.lit(2 * n + 2)
+
+
+def _ranked_values(df: DataFrame, ranks: dict[str, list[int]], counts: dict[str, int]) -> dict[tuple[str, int], float]:
+    """Order statistics of columns whose values fit into one sketch without loss."""
+    if not ranks:
+        return {}
+    names = list(ranks)
+    row = df.agg(
+        *[
+            F.percentile_approx(_number(n), _rank_array(ranks[n], counts[n]), _keeps_all(counts[n])).alias(f"q{i}")
+            for i, n in enumerate(names)
+        ]
+    ).first()
+    return {(n, r): v for i, n in enumerate(names) for r, v in zip(ranks[n], row[f"q{i}"])}
+
+
 def order_statistics(
     df: DataFrame, ranks: dict[str, list[int]], counts: dict[str, int], budget: int = VALUE_BUDGET
 ) -> dict[tuple[str, int], float]:
-    """Values at the given ranks (from 0) of each column."""
-    targets = [_Target(n, r) for n, rs in ranks.items() for r in rs]
-    limit = max(1_000, budget // max(1, len(targets)))
-    _first_brackets(df, targets, counts)
-    while pending := [t for t in targets if t.value is None]:
-        _count_pass(df, pending, limit)
+    """Values at the given ranks (from 0) of each column, at any number of values."""
+    if not ranks:
+        return {}
+    targets = _first_brackets(df, ranks, counts)
+    limit = max(1_000, budget // len(targets))
+    waiting = targets
+    while waiting:
+        _count_pass(df, waiting)
+        waiting = [t for t in waiting if t.value is None]
+        # A rank outside its bracket is counted again; one inside is settled or narrowed
+        held = [t for t in waiting if t.inside]
+        _settle_pass(df, [t for t in held if t.inside <= limit])
+        _narrow_pass(df, [t for t in held if t.inside > limit])
+        waiting = [t for t in waiting if t.value is None]
     return {(t.name, t.rank): t.value for t in targets}
 
 
-def _first_brackets(df: DataFrame, targets: list[_Target], counts: dict[str, int]) -> None:
+def _first_brackets(df: DataFrame, ranks: dict[str, list[int]], counts: dict[str, int]) -> list[_Target]:
+    """Bracket every rank with one sketch per column."""
+    names = list(ranks)
     measures = []
-    for i, t in enumerate(targets):
-        centre, slack = (t.rank + 0.5) / counts[t.name], 1.5 / _ACCURACY
-        fractions = [max(0.0, centre - slack), min(1.0, centre + slack)]
-        x = _number(t.name)
+    for i, n in enumerate(names):
+        x = _number(n)
+        ends = []
+        for r in ranks[n]:
+            centre = (r + 0.5) / counts[n]
+            ends += [F.lit(max(0.0, centre - _SLACK)), F.lit(min(1.0, centre + _SLACK))]
         measures += [
-            F.percentile_approx(x, F.array(*map(F.lit, fractions)), F.lit(_ACCURACY)).alias(f"s{i}"),
-            F.min(x).alias(f"lo{i}"),
-            F.max(x).alias(f"hi{i}"),
+            F.percentile_approx(x, F.array(*ends), F.lit(_ACCURACY)).alias(f"s{i}"),
+            F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
         ]
     row = df.agg(*measures).first()
-    for i, t in enumerate(targets):
-        t.low, t.high = row[f"s{i}"]
-        t.floor, t.ceiling = row[f"lo{i}"], row[f"hi{i}"]
+    return [
+        _Target(n, r, row[f"s{i}"][2 * j], row[f"s{i}"][2 * j + 1], row[f"lo{i}"], row[f"hi{i}"])
+        for i, n in enumerate(names)
+        for j, r in enumerate(ranks[n])
+    ]
 
 
-def _count_pass(df: DataFrame, targets: list[_Target], limit: int) -> None:
-    """One scan: settle the targets whose remaining values fit, narrow the others."""
+def _count_pass(df: DataFrame, targets: list[_Target]) -> None:
+    """Count around every bracket and place each rank: on an end, inside, or outside."""
     measures = []
     for i, t in enumerate(targets):
         x = _number(t.name)
-        inside = F.when((x > t.low) & (x < t.high), x)
-        if t.final:
-            # accuracy above twice the count keeps every value: the rank is exact
-            fraction, accuracy = (t.rank - t.offset + 0.5) / t.inside, 2 * t.inside + 2
-            measures.append(F.percentile_approx(inside, F.lit(fraction), F.lit(accuracy)).alias(f"v{i}"))
-            continue
-        grid = F.array(*[F.lit(g / _GRID) for g in range(_GRID + 1)])
         measures += [
-            F.count_if(x < t.low).alias(f"below{i}"),
-            F.count_if(x == t.low).alias(f"low{i}"),
-            F.count(inside).alias(f"in{i}"),
+            F.count_if(x < t.low).alias(f"below{i}"), F.count_if(x == t.low).alias(f"low{i}"),
+            F.count_if((x > t.low) & (x < t.high)).alias(f"in{i}"),
             F.count_if((x == t.high) & F.lit(t.high != t.low)).alias(f"high{i}"),
-            F.percentile_approx(inside, grid, F.lit(_ACCURACY)).alias(f"g{i}"),
         ]
     row = df.agg(*measures).first()
     for i, t in enumerate(targets):
-        if t.final:
-            t.value = row[f"v{i}"]
-            continue
         below, at_low, within, at_high = (row[f"{k}{i}"] for k in ("below", "low", "in", "high"))
+        t.inside = 0
         if t.rank < below:  # the sketch missed: search left of the bracket
             t.low, t.high = t.floor, t.low
         elif t.rank < below + at_low:
@@ -143,18 +158,40 @@ def _count_pass(df: DataFrame, targets: list[_Target], limit: int) -> None:
         elif t.rank < below + at_low + within:
             t.offset, t.inside = below + at_low, within
             t.floor, t.ceiling = t.low, t.high
-            if within <= limit:
-                t.final = True
-            else:
-                _narrow(t, row[f"g{i}"])
         elif t.rank < below + at_low + within + at_high:
             t.value = t.high
         else:
             t.low, t.high = t.high, t.ceiling
 
 
-def _narrow(t: _Target, grid: list[float]) -> None:
-    share, slack = (t.rank - t.offset + 0.5) / t.inside, 1.5 / _ACCURACY
-    left = max(0, math.floor((share - slack) * _GRID))
-    right = min(_GRID, math.ceil((share + slack) * _GRID))
-    t.low, t.high = grid[left], grid[right]
+def _inside(t: _Target) -> Column:
+    x = _number(t.name)
+    return F.when((x > t.floor) & (x < t.ceiling), x)
+
+
+def _settle_pass(df: DataFrame, targets: list[_Target]) -> None:
+    """Read the ranks from the few values left inside each bracket."""
+    if not targets:
+        return
+    row = df.agg(
+        *[
+            F.percentile_approx(_inside(t), F.lit((t.rank - t.offset + 0.5) / t.inside), _keeps_all(t.inside)).alias(f"v{i}")
+            for i, t in enumerate(targets)
+        ]
+    ).first()
+    for i, t in enumerate(targets):
+        t.value = row[f"v{i}"]
+
+
+def _narrow_pass(df: DataFrame, targets: list[_Target]) -> None:
+    """Sketch only the values inside each bracket to get a tighter one."""
+    if not targets:
+        return
+    measures = []
+    for i, t in enumerate(targets):
+        centre = (t.rank - t.offset + 0.5) / t.inside
+        ends = F.array(F.lit(max(0.0, centre - _SLACK)), F.lit(min(1.0, centre + _SLACK)))
+        measures.append(F.percentile_approx(_inside(t), ends, F.lit(_ACCURACY)).alias(f"s{i}"))
+    row = df.agg(*measures).first()
+    for i, t in enumerate(targets):
+        t.low, t.high = row[f"s{i}"]

@@ -150,4 +150,4 @@ def sql_skew(c: str) -> str:
 
 def sql_title(c: str) -> str:
     words = f"regexp_extract_all({c}, '[\\p{{Lu}}\\p{{Ll}}\\p{{Lt}}]+|[^\\p{{Lu}}\\p{{Ll}}\\p{{Lt}}]+')"
-    return f"array_to_string(list_transform({words}, lambda w: upper(w[1]) || lower(w[2:])), '')"
+    return f"array_to_string(list_transform({words}, lambda w: case when w[1] = 'ß' then 'Ss' else upper(w[1]) end || lower(w[2:])), '')"
