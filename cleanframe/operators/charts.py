@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..schema import numeric_columns, quoted
 from ..session import small_frame
-from .frequency import value_frequency
 from .outliers import is_outlier
 from .profile import NumericStats, null_table, numeric_stats, outlier_counts
 

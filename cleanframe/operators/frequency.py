@@ -38,7 +38,7 @@ def countable(df: DataFrame, name: str) -> bool:
 def value_frequency(df: DataFrame, columns: list[str], as_text: bool = False) -> DataFrame:
     """Rows ``(column, whole, number, text, rows)``: how often each non-null value occurs."""
     pairs = df.select(F.inline(F.array(*[_pair(df, n, as_text) for n in columns])))
-    present = pairs.where(F.coalesce(F.col("whole").isNotNull(), F.lit(False)) | F.col("number").isNotNull() | F.col("text").isNotNull())
+    present = pairs.where("whole is not null or number is not null or text is not null")
     return present.groupBy("column", *_FIELDS).agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -83,6 +83,6 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, tuple[object, int]]:
 def common_values(df: DataFrame, columns: list[str] | None = None, limit: int = 300) -> DataFrame:
     """Values of one or several columns as text, most frequent first (a top-k report)."""
     names = [n for n in (columns or df.columns) if countable(df, n)]
-    frequency = value_frequency(df, names, as_text=True)
-    total = frequency.groupBy(F.col("text").alias("value")).agg(F.sum("rows").alias("rows"))
-    return total.orderBy(F.col("rows").desc(), "value").limit(limit)
+    values = df.select(F.explode(F.array(*[quoted(n).cast("string") for n in names])).alias("value"))
+    counts = values.where("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("rows"))
+    return counts.orderBy(F.col("rows").desc(), "value").limit(limit)

@@ -52,9 +52,8 @@ def plan_fills(
     nulls = {n: k for n, k in null_counts(df, df.columns).items() if k}
     columns = [n for n in df.columns if n in nulls]
     for n in columns:
-        allowed = IMPUTE_METHODS[kinds.get(n, TEXT)]
-        if n in chosen and chosen[n] not in allowed:
-            raise ValueError(f"method {chosen[n]!r} does not apply to {kinds.get(n, TEXT)} column {n!r}")
+        if chosen.get(n) in ("mean", "median", "interpolate") and not is_numeric(dtype_of(df, n)):
+            raise ValueError(f"method {chosen[n]!r} needs a numeric column, {n!r} is none")
 
     def kind(n):
         return kinds.get(n, TEXT)
@@ -81,6 +80,11 @@ def _decide(name, kind, method, stats: NumericStats | None, top, skew_limit, nul
     return Fill(name, method, reason, value, nulls)
 
 
+def methods_for(kind: str) -> tuple[str, ...]:
+    """Methods offered for a kind."""
+    return IMPUTE_METHODS[label(kind)]
+
+
 def recommendation(kind: str, stats: NumericStats | None, top, skew_limit: float = 0.5) -> tuple[str, str]:
     """Suggested method of a kind, with the reason."""
     if kind == NUMERIC:

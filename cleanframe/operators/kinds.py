@@ -18,9 +18,9 @@ from ..session import small_frame
 BOOLEAN_SHARE, NUMERIC_SHARE, DATE_SHARE = 0.95, 0.9, 0.9
 REPEAT_RATIO, FEW_VALUES, FEW_VALUES_RATIO = 0.5, 20, 0.9
 
-# Relative standard deviation of the distinct estimate, and the margin (ten of those)
-# within which a column is counted exactly.
-_SKETCH_ERROR, _SKETCH_MARGIN = 0.02, 0.2
+# Columns with more values than this are first estimated with a sketch of 2^12 registers
+# (1.6% standard error); within ten errors of the threshold they are counted exactly.
+_COUNT_DIRECTLY, _SKETCH_SIZE, _SKETCH_MARGIN = 5_000_000, 12, 0.2
 
 
 def _count(condition: Column) -> Column:
@@ -64,8 +64,9 @@ def infer_kinds(
 ) -> tuple[dict[str, str], dict[str, bool]]:
     """Kind of every column and the decimal-comma verdict of the text columns.
 
-    One aggregate reads all text columns. Distinct values are first estimated; only
-    columns whose repeat ratio is too close to the threshold are counted exactly.
+    One aggregate reads all text columns. Distinct values are counted only where the
+    other rules leave a column open, and in long columns only where an estimate is too
+    close to the threshold.
     ``sample`` looks at a fraction of the rows instead of all of them.
     """
     overrides = {k: label(v) for k, v in (overrides or {}).items() if k in df.columns}
@@ -100,7 +101,6 @@ def infer_kinds(
             _count(v.rlike(dates.DATE_LIKE)).alias(f"datelike{i}"),
             # Whatever parses as a date also looks like one
             F.count(F.when(v.rlike(dates.DATE_LIKE), dates.parse_date(v))).alias(f"date{i}"),
-            F.approx_count_distinct(v, _SKETCH_ERROR).alias(f"distinct{i}"),
         ]
     seen = values.agg(*measures).first()
     comma = {name: seen[f"comma{i}"] > seen[f"dot{i}"] for i, name in enumerate(texts)}
@@ -116,7 +116,7 @@ def infer_kinds(
             ]
         ).first().asDict()
 
-    unsure = []
+    open_columns = []
     for i, name in enumerate(texts):
         n = seen[f"n{i}"]
         parsed = seen[f"numcomma{i}"] if comma[name] else seen[f"numdot{i}"]
@@ -128,20 +128,32 @@ def infer_kinds(
             kinds[name] = NUMERIC
         elif seen[f"datelike{i}"] / n >= DATE_SHARE and seen[f"date{i}"] / n >= DATE_SHARE:
             kinds[name] = DATE
-        else:
-            ratio = seen[f"distinct{i}"] / n
-            # From 40 values on, few distinct values imply a small ratio
-            if n < 2 * FEW_VALUES or abs(ratio - REPEAT_RATIO) <= _SKETCH_MARGIN * REPEAT_RATIO:
-                if name not in overrides:
-                    unsure.append(i)
-            else:
-                kinds[name] = CATEGORICAL if ratio <= REPEAT_RATIO else TEXT
+        elif name not in overrides:
+            open_columns.append(i)
+    for i, kind in _repeat_kinds(values, open_columns, {i: seen[f"n{i}"] for i in open_columns}).items():
+        kinds[texts[i]] = kind
+    return {**kinds, **overrides}, comma
+
+
+def _repeat_kinds(values: DataFrame, indexes: list[int], counts: dict[int, int]) -> dict[int, str]:
+    """Categorical or text, by how often values repeat."""
+    kinds = {}
+    long = [i for i in indexes if counts[i] > _COUNT_DIRECTLY]
+    if long:
+        sketches = [F.hll_sketch_estimate(F.hll_sketch_agg(F.col(f"v{i}"), _SKETCH_SIZE)).alias(f"d{i}") for i in long]
+        row = values.agg(*sketches).first()
+        for i in long:
+            # Few distinct values imply a small ratio in a long column, so the ratio decides
+            ratio = row[f"d{i}"] / counts[i]
+            if abs(ratio - REPEAT_RATIO) > _SKETCH_MARGIN * REPEAT_RATIO:
+                kinds[i] = CATEGORICAL if ratio <= REPEAT_RATIO else TEXT
+    unsure = [i for i in indexes if i not in kinds]
     if unsure:
         for i, distinct in _exact_distinct(values, unsure).items():
-            ratio = distinct / seen[f"n{i}"]
+            ratio = distinct / counts[i]
             repeats = ratio <= REPEAT_RATIO or (distinct <= FEW_VALUES and ratio < FEW_VALUES_RATIO)
-            kinds[texts[i]] = CATEGORICAL if repeats else TEXT
-    return {**kinds, **overrides}, comma
+            kinds[i] = CATEGORICAL if repeats else TEXT
+    return kinds
 
 
 def _exact_distinct(values: DataFrame, indexes: list[int]) -> dict[int, int]:

@@ -344,11 +344,13 @@ PROFILE_SCHEMA = pa.schema(
 
 
 def full_profile(
-    df: DataFrame, kinds: dict[str, str], iqr_factor: float = 1.5, order_by: list[str] | None = None, top: int = 4
+    df: DataFrame, kinds: dict[str, str], iqr_factor: float = 1.5, order_by: list[str] | None = None, top: int = 4,
+    approximate_distinct: bool = False,
 ) -> DataFrame:
     """One row per column with the measures of its kind.
 
-    ``pattern`` needs ``order_by``. Jobs: null counts and patterns, numeric moments and
+    ``pattern`` needs ``order_by``. ``approximate_distinct`` estimates the distinct values
+    of numeric and date columns, which keeps them out of the frequency shuffle. Jobs: null counts and patterns, numeric moments and
     quantiles, outlier counts, date ends, and one frequency table for everything that
     counts values.
     """
@@ -371,6 +373,12 @@ def full_profile(
         for r in date_profile(df, dates).collect():
             rows[r["column"]].update(first_date=r["min"], last_date=r["max"])
     counted = [n for n in names if freq.countable(df, n)]
+    if approximate_distinct:
+        estimated = [n for n in counted if n not in spoken]
+        if estimated:
+            for r in distinct_counts(df.select(*[quoted(n) for n in estimated]), approximate=True).collect():
+                rows[r["column"]]["distinct"] = r["distinct"]
+        counted = spoken
     if counted:
         frequency = freq.value_frequency(df, counted)
         for r in freq.summary(frequency).collect():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +11,7 @@ from ..functions.text import strip
 from ..functions.vocabulary import READER_NULLS, SEPARATORS
 from ..operators.order import BROADCAST_CHUNKS
 from ..schema import nan_to_null, quoted
-from ..session import write_table
+from ..session import small_frame, write_table
 
 SNIFFED_CHARACTERS = 20_000
 _SNIFFED_LINES = 500
@@ -36,12 +37,19 @@ def read_file(
 # --- detection ------------------------------------------------------------------------------
 
 def separator_scores(spark: SparkSession, path: str) -> DataFrame:
-    """Rows ``(separator, least, most, total)`` over the first lines.
+    """Rows ``(place, separator, least, most, total)`` over the head of the source.
 
-    Quoted parts are removed before counting. Only the head of the file is looked at.
+    Only the first characters of the first lines are taken, which opens one file and not
+    all of them. Quoted parts are removed before counting.
     """
-    lines = spark.read.text(path).limit(_SNIFFED_LINES).select(F.substr("value", F.lit(1), F.lit(SNIFFED_CHARACTERS)).alias("value"))
-    # The header decides alone when one line already exceeds the sniffed characters
+    start = F.substr("value", F.lit(1), F.lit(SNIFFED_CHARACTERS)).alias("value")
+    head, length = [], 0
+    for row in spark.read.text(path).select(start).take(_SNIFFED_LINES):
+        if length >= SNIFFED_CHARACTERS:
+            break
+        length += len(row["value"])
+        head.append({"value": row["value"]})
+    lines = small_frame(spark, head, pa.schema([("value", pa.string())]))
     bare = lines.where(F.length(strip(F.col("value"))) > 0).select(F.regexp_replace("value", '"[^"]*"', "").alias("value"))
     marks = bare.select(
         F.inline(F.array(*[
@@ -86,6 +94,7 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header, every column as text, missing-value spellings as null.
 
+    Without ``encoding`` one pass over the text decides between UTF-8 and Latin-1.
     ``multi_line`` allows line breaks inside quotes but stops Spark from splitting a
     file, so it is off by default. ``typed`` gives columns that hold only numbers or
     booleans their type, as a reader with inference would.
@@ -130,13 +139,19 @@ def apply_reader_types(df: DataFrame) -> DataFrame:
 
 
 def read_json(
-    spark: SparkSession, path: str, multi_line: bool | None = None, flat: bool = True, row_id: str | None = None
+    spark: SparkSession, path: str, multi_line: bool | None = None, flat: bool = True, row_id: str | None = None,
+    schema=None,
 ) -> DataFrame:
-    """JSON records, one per line or as one array; nested objects become dotted columns."""
+    """JSON records, one per line or as one array; nested objects become dotted columns.
+
+    A given ``schema`` saves the pass that infers it. An array cannot be split: large
+    sources should hold one record per line.
+    """
     if multi_line is None:
         head = spark.read.text(path).where(F.length(strip(F.col("value"))) > 0).first()
         multi_line = bool(head) and head["value"].lstrip("﻿ \t").startswith("[")
-    df = spark.read.option("multiLine", multi_line).json(path)
+    reader = spark.read.option("multiLine", multi_line)
+    df = (reader.schema(schema) if schema is not None else reader).json(path)
     if row_id:
         df = number_rows(df, row_id)
     return nan_to_null(flatten(df) if flat else df)
