@@ -17,6 +17,10 @@ from .text import strip
 _TIME = r"([ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?"
 _YEAR_LAST = rf"^(\d{{1,2}})[/.\-](\d{{1,2}})[/.\-](\d{{4}}){_TIME}$"
 _YEAR_FIRST = rf"^(\d{{4}})[/.\-](\d{{1,2}})[/.\-](\d{{1,2}}){_TIME}$"
+# Two-digit years: 00 to 75 belong to this century, 76 to 99 to the last
+_SHORT_DAY = r"^(?<day>\d{1,2}[/.\-]\d{1,2}[/.\-])"
+_THIS_CENTURY = rf"{_SHORT_DAY}(?<year>[0-6]\d|7[0-5]){_TIME}$"
+_LAST_CENTURY = rf"{_SHORT_DAY}(?<year>7[6-9]|[89]\d){_TIME}$"
 _NORMAL = rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}{_TIME}$"
 
 # Fixed pattern: what a value must contain before a column is tested for dates.
@@ -33,7 +37,8 @@ def _normalised(s: Column, year_last: str) -> Column:
 
 def parse_date(c: Column, day_first: bool = True) -> Column:
     """Timestamp from mixed date formats; the other day/month order is the fallback."""
-    s = strip(c)
+    s = F.regexp_replace(strip(c), _THIS_CENTURY, "${day}20${year}$3")
+    s = F.regexp_replace(s, _LAST_CENTURY, "${day}19${year}$3")
     orders = ("$3-$2-$1$4", "$3-$1-$2$4")
     first, second = orders if day_first else orders[::-1]
     return F.coalesce(_normalised(s, first), _normalised(s, second))

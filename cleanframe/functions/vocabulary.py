@@ -29,7 +29,6 @@ OUTLIER_ACTIONS = ("keep", "clip", "null", "remove")
 RULE_MODES = ("exact", "contains", "regex")
 COMPARISONS = ("==", "!=", ">", ">=", "<", "<=")
 FILTER_OPERATORS = COMPARISONS + ("contains", "not contains", "is null", "is not null")
-CONVERSIONS = ("number", "integer", "date", "text", "category", "boolean")
 
 # Portuguese labels found in existing configurations, and ours.
 LABELS = {

@@ -211,7 +211,7 @@ def convert_type(
     c: Column, dtype: T.DataType, target: str, decimal_comma: bool = False,
     day_first: bool = True, date_format: str | None = None,
 ) -> Column:
-    """Column converted to one of the explicit targets of :data:`CONVERSIONS`."""
+    """Column converted to an explicit target: number, integer, date, text, category or boolean."""
     target = label(target)
     if target in ("number", NUMERIC):
         return convert(c, dtype, NUMERIC, decimal_comma)

@@ -27,7 +27,6 @@ class Treated:
     outliers: int
     log: Log = field(default_factory=Log)
     unfiltered: DataFrame | None = None
-    removed_earlier: list = field(default_factory=list)
     filtered: Filtered | None = None
 
     @property

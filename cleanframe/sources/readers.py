@@ -168,11 +168,13 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*[leaf for f in df.schema.fields for leaf in _leaves(quoted(f.name), f.dataType, f.name)])
 
 
-def read_parquet(spark: SparkSession, path: str, row_id: str | None = None) -> DataFrame:
+def read_parquet(spark: SparkSession, path: str, row_id: str | None = None, nan_as_null: bool = True) -> DataFrame:
+    """Parquet, with NaN as null. ``nan_as_null=False`` suits files without NaN: filters on
+    fractional columns then reach the scan too."""
     df = spark.read.parquet(path)
     if row_id:
         df = number_parquet_rows(df, row_id)
-    return nan_to_null(df)
+    return nan_to_null(df) if nan_as_null else df
 
 
 # --- source row ids ---------------------------------------------------------------------------

@@ -77,6 +77,12 @@ def test_parse_date(apply):
     ]
 
 
+def test_two_digit_years(apply):
+    assert apply(dates.parse_date, ["05/06/24", "31.12.75 10:20", "1-2-76", "12/31/99", "5/6/4", "32/13/24"]) == [
+        datetime(2024, 6, 5), datetime(2075, 12, 31, 10, 20), datetime(1976, 2, 1), datetime(1999, 12, 31), None, None,
+    ]
+
+
 def test_parse_date_month_first(apply):
     assert apply(lambda c: dates.parse_date(c, day_first=False), ["1/2/2024", "31/12/2023"]) == [
         datetime(2024, 1, 2), datetime(2023, 12, 31),
