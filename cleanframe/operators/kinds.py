@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions import booleans, dates, numbers
 from ..functions.vocabulary import BOOLEAN, CATEGORICAL, DATE, NUMERIC, TEXT, label
 from ..schema import dtype_of, is_date, is_integral, is_numeric, quoted, text_columns
-from ..session import small_frame
+from ..session import aggregate_row, small_frame
 
 # Fixed thresholds of the inference rules.
 BOOLEAN_SHARE, NUMERIC_SHARE, DATE_SHARE = 0.95, 0.9, 0.9
@@ -102,7 +102,7 @@ def infer_kinds(
             # Whatever parses as a date also looks like one
             F.count(F.when(v.rlike(dates.DATE_LIKE), dates.parse_date(v))).alias(f"date{i}"),
         ]
-    seen = values.agg(*measures).first()
+    seen = aggregate_row(values, measures)
     comma = {name: seen[f"comma{i}"] > seen[f"dot{i}"] for i, name in enumerate(texts)}
 
     # At most two distinct values: every value is the smallest or the largest one

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.vocabulary import DATE, KINDS, NUMERIC
 from ..schema import is_numeric, numeric_columns, quoted
-from ..session import small_frame
+from ..session import aggregate_row, small_frame
 from . import frequency as freq
 from .quantiles import VALUE_BUDGET, exact_quantiles
 
@@ -219,7 +219,7 @@ def numeric_stats(
             n.alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
             F.min(x).alias(f"low{i}"), F.max(x).alias(f"high{i}"), sample_kurtosis(F.kurtosis(x), n).alias(f"kurt{i}"),
         ]
-    row = df.agg(*measures).first()
+    row = aggregate_row(df, measures)
     stats = {
         name: NumericStats(
             name, row["rows"], row[f"n{i}"], row[f"mean{i}"], row[f"std{i}"], row[f"low{i}"], row[f"high{i}"], row[f"kurt{i}"]

@@ -43,3 +43,15 @@ def write_table(df: DataFrame, purpose: str) -> DataFrame:
 def small_frame(spark: SparkSession, rows: list[dict], schema: pa.Schema) -> DataFrame:
     """DataFrame of a few driver-side rows (statistics, logs)."""
     return spark.createDataFrame(pa.Table.from_pylist(rows, schema=schema))
+
+
+def aggregate_row(df: DataFrame, measures: list, at_once: int = 500) -> dict:
+    """Values of named global aggregates as driver values.
+
+    Very wide tables are read in a few passes, since one aggregate with thousands of
+    expressions would no longer compile; each pass scans only its own columns.
+    """
+    row: dict = {}
+    for start in range(0, len(measures), at_once):
+        row.update(df.agg(*measures[start:start + at_once]).first().asDict())
+    return row

@@ -64,6 +64,14 @@ def test_convert_integer_rounds_half_even(spark):
     assert values(kinds.convert_types(df, {"v": "inteiro"})) == [0, 2, 2, None]
 
 
+def test_wide_tables_are_read_in_passes(spark):
+    from cleanframe.session import aggregate_row
+
+    df = spark.range(10).select(*[(F.col("id") + i).alias(f"c{i}") for i in range(7)])
+    row = aggregate_row(df, [F.max(f"c{i}").alias(f"m{i}") for i in range(7)], at_once=3)
+    assert row == {f"m{i}": 9 + i for i in range(7)}
+
+
 # --- rules ----------------------------------------------------------------------------------
 
 def rule(column, find, replace="", mode="exact", case=False):
