@@ -4,30 +4,50 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folder: str | None = None
+_shipped: set[str] = set()
 
 
 def scratch_path(spark: SparkSession, purpose: str) -> str:
-    """Fresh path in the folder named by ``spark.checkpoint.dir``.
-
-    A cluster must name a folder every executor can reach. A temporary folder is used
-    only where none is named and Spark runs in one process, as in tests.
-    """
-    global _local_folder
+    """Fresh path in the folder named by ``spark.checkpoint.dir``, which all executors reach."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        _local_folder = _local_folder or tempfile.mkdtemp(prefix="cleanframe-")
-        shared = _local_folder
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     return f"{shared.rstrip('/')}/cleanframe-{purpose}-{uuid.uuid4().hex}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    The archive is made beside the driver and handed out by Spark's own file server.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="cleanframe-")) / "cleanframe_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, str(source.relative_to(root.parent)))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a table made by ``write_table`` once nothing reads it any more."""
+    jvm = df.sparkSession._jvm
+    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/cleanframe-" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def write_table(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` as Parquet in the scratch folder and read it back.
 

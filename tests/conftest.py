@@ -15,9 +15,10 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
     )
     session = builder.getOrCreate()
-    session.sparkContext.setLogLevel("ERROR")
     if session.conf.get("spark.checkpoint.dir", None) is None:
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tests-"))
+        session.stop()
+        session = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tests-")).getOrCreate()
+    session.sparkContext.setLogLevel("ERROR")
     return session
 
 
