@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, decontaminate, exact, nearcopies, packing, quality, sharding
+from . import archive, decontaminate, exact, html, nearcopies, packing, quality, sharding, toxicity
 from .registry import _oracles, _queries, query, table
 
 
@@ -76,3 +76,20 @@ def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     found = nearcopies.near_copies(table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    out = toxicity.scored(docs, toxicity.fit(docs, table(spark, folder, "labels")), into="score")
+    return out.select(
+        "doc_id", toxicity.held_out("doc_id").alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "toxic_spans",
+    )
+
+
+@query("op6_html")
+def op6_html(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    out = html.extracted(pages, html.fit(pages), into="text")
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
