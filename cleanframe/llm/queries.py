@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archive, decontaminate, exact, html, nearcopies, packing, quality, sharding, toxicity
+from . import archive, decontaminate, exact, html, nearcopies, packing, quality, sharding, suffixes, toxicity
 from .registry import _oracles, _queries, query, table
 
 
@@ -93,3 +93,8 @@ def op6_html(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     out = html.extracted(pages, html.fit(pages), into="text")
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, folder, "documents")).drop("kept")
