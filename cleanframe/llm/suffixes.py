@@ -38,7 +38,7 @@ from .words import chunks, prefix_sums, span_hash
 LEAST = 200
 HEAD = 32
 BATCHES = 4
-HOT_CONTEXTS = 1000
+HOT_CONTEXTS = 30_000
 _PLACE_BITS = 28
 
 
