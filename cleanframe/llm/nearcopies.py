@@ -5,8 +5,9 @@ more. In each run a set goes to the nodes of the shingles it samples: those whos
 run and the path so far, is below a rate over the size of the set, so that linked sets sample the
 same shingles. Nodes of few sets are compared by brute force; larger ones split again on further
 sampled shingles, up to a depth. Runs are repeated until a pair at the threshold is met with the
-target probability. A node that is still large at full depth holds sets that agree on all sampled
-shingles; it is compared in blocks.
+target probability. A large node is compared in blocks, without splitting it further, at full depth
+or if most of its children keep a good part of its members: its sets are mutually similar, and
+splitting would only repeat them.
 
 Equal sets are one set with a number of copies. Nodes with the same members are compared once,
 and a pair is counted at the first node it shares, so no pairs are emitted: a comparison yields
@@ -37,7 +38,9 @@ WIDTH = 5
 THRESHOLD = 0.8
 TARGET_RECALL = 0.9999
 LEAF_SETS = 64
-BLOCK_SETS = 256
+BLOCK_SETS = 1024
+DENSE_CHILD = 0.4
+DENSE_SHARE = 0.5
 RATES = (1.0, 2.0, 2.0)
 
 
@@ -108,19 +111,23 @@ def _profile(runs: int):
 def _children(level: int):
     def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, found = [], []
-            parents = batch.column(2).to_pylist()
+            keys, found, parents, sizes = [], [], [], []
+            above = batch.column(2).to_pylist()
             for first, flat, borders in _sets_of(batch.column(1)):
                 for k in range(len(borders) - 1):
                     own = flat[borders[k]:borders[k + 1]]
                     limit = _cut(np.array([len(own)]), RATES[level])[0]
                     key = batch.column(0)[first + k].as_py()
-                    for node in np.array(parents[first + k], dtype=np.int64).view(np.uint64):
-                        new = sampled(own, node, limit)
+                    for parent in above[first + k]:
+                        new = sampled(own, np.int64(parent["node"]).astype(np.uint64), limit)
                         keys += [key] * len(new)
+                        parents += [parent["node"]] * len(new)
+                        sizes += [parent["size"]] * len(new)
                         found.append(new)
             nodes = np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(keys, pa.binary())], ["node", "key"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes), pa.array(keys, pa.binary()), pa.array(parents, pa.int64()), pa.array(sizes, pa.int64())],
+                ["node", "key", "parent", "parent_size"])
 
     return children
 
@@ -136,20 +143,33 @@ def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(np.concatenate(same)))
 
 
-def similar_pairs(sets: list[np.ndarray], split: int) -> list[tuple[int, int]]:
-    """Pairs of linked sets: all pairs if ``split`` is 0, else those across place ``split``."""
+def _bit_rows(row: np.ndarray, column: np.ndarray, m: int) -> np.ndarray:
+    """Packed bits of (row, column) pairs; columns are renumbered."""
+    place = np.unique(column, return_inverse=True)[1] if len(column) else column
+    bits = np.zeros((m, int(place.max()) // 64 + 1 if len(place) else 1), dtype=np.uint64)
+    np.bitwise_or.at(bits, (row, place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+    return bits
+
+
+def similar_pairs(sets: list[np.ndarray], split: int, seen: list[list[int]]) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, places of the sets linked with it): all pairs if ``split`` is 0, else those across it.
+
+    Pairs with a common entry in ``seen`` are left out.
+    """
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
-    out = []
     if m <= 4:
         for i in range(m):
+            found = []
             for j in range(i + 1, m):
-                if (split and not i < split <= j) or min(sizes[i], sizes[j]) < THRESHOLD * max(sizes[i], sizes[j]):
+                if (split and not i < split <= j) or min(sizes[i], sizes[j]) < THRESHOLD * max(sizes[i], sizes[j]) or set(seen[i]) & set(seen[j]):
                     continue
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if both >= THRESHOLD * (sizes[i] + sizes[j] - both):
-                    out.append((i, j))
-        return out
+                    found.append(j)
+            if found:
+                yield i, np.array(found)
+        return
     flat = np.concatenate(sets)
     row = np.repeat(np.arange(m), sizes)
     order = np.argsort(flat)
@@ -158,17 +178,16 @@ def similar_pairs(sets: list[np.ndarray], split: int) -> list[tuple[int, int]]:
     new[1:] = flat[1:] != flat[:-1]
     column = np.cumsum(new) - 1
     several = np.bincount(column)[column] > 1
-    row, column = row[several], column[several]
-    place = np.unique(column, return_inverse=True)[1] if len(column) else column
-    width = (int(place.max()) // 64 + 1) if len(place) else 1
-    bits = np.zeros((m, width), dtype=np.uint64)
-    np.bitwise_or.at(bits, (row, place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+    bits = _bit_rows(row[several], column[several], m)
+    met = _bit_rows(np.repeat(np.arange(m), [len(x) for x in seen]), np.array([x for own in seen for x in own], dtype=np.int64), m)
     for i in range(split or m):
         low = split or i + 1
         both = np.bitwise_count(bits[i] & bits[low:]).sum(axis=1, dtype=np.int64)
-        for j in np.flatnonzero(both >= THRESHOLD * (sizes[i] + sizes[low:] - both)).tolist():
-            out.append((i, low + j))
-    return out
+        linked = np.flatnonzero(both >= THRESHOLD * (sizes[i] + sizes[low:] - both))
+        if len(linked):
+            linked = linked[~(met[i] & met[low:][linked]).any(axis=1)]
+            if len(linked):
+                yield i, low + linked
 
 
 def _compare_group(leaf: int, members: dict[bytes, tuple], blocks: tuple[int, int]) -> list[tuple]:
@@ -178,7 +197,8 @@ def _compare_group(leaf: int, members: dict[bytes, tuple], blocks: tuple[int, in
     if blocks[0] != blocks[1] and not 0 < split < len(keys):
         return []
     root = list(range(len(keys)))
-    links = [0] * len(keys)
+    links = np.zeros(len(keys), dtype=np.int64)
+    copies = np.array([members[k][1] for k in keys])
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -186,15 +206,15 @@ def _compare_group(leaf: int, members: dict[bytes, tuple], blocks: tuple[int, in
             x = root[x]
         return x
 
-    for i, j in similar_pairs([members[k][3] for k in keys], split):
-        a, b = members[keys[i]], members[keys[j]]
-        if min(a[2] & b[2]) != leaf:
-            continue
-        links[i] += b[1]
-        links[j] += a[1]
-        low, high = sorted((find(i), find(j)))
-        root[high] = low
-    return [(k, n, keys[find(i)]) for i, (k, n) in enumerate(zip(keys, links)) if n]
+    # Pairs that share an earlier node are counted there.
+    earlier = [[x for x in members[k][2] if x < leaf] for k in keys]
+    for i, linked in similar_pairs([members[k][3] for k in keys], split, earlier):
+        links[i] += copies[linked].sum()
+        links[linked] += copies[i]
+        for j in linked.tolist():
+            low, high = sorted((find(i), find(j)))
+            root[high] = low
+    return [(k, n, keys[find(i)]) for i, (k, n) in enumerate(zip(keys, links.tolist())) if n]
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +236,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if members:
                         out += _compare_group(current[0], members, current[1:])
                     current, members = group, {}
-                members[key[r]] = (block[r], copies[r], set(nodes[r]), flat[borders[k]:borders[k + 1]].copy())
+                members[key[r]] = (block[r], copies[r], nodes[r], flat[borders[k]:borders[k + 1]].copy())
         yield emit()
     if members:
         out += _compare_group(current[0], members, current[1:])
@@ -274,11 +294,16 @@ def near_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     leaves = members.where(F.col("size") <= LEAF_SETS).select("node", "key")
     big = members.where(F.col("size") > LEAF_SETS)
     for level in range(1, len(RATES)):
-        grouped = big.groupBy("key").agg(F.collect_list("node").alias("nodes"))
+        grouped = big.groupBy("key").agg(F.collect_list(F.struct("node", "size")).alias("nodes"))
         children = grouped.join(active.select("key", "text"), "key").select("key", "text", "nodes")
-        rows = write_table(children.mapInArrow(_children(level), "node long, key binary").distinct(), "children")
-        found = _counted(rows)
-        drop_table(rows)
+        rows = write_table(children.mapInArrow(_children(level), "node long, key binary, parent long, parent_size long").distinct(), "children")
+        sizes = write_table(rows.groupBy("node", "parent", "parent_size").agg(F.count("*").alias("size")), "nodes")
+        kept = F.sum(F.when(F.col("size") >= DENSE_CHILD * F.col("parent_size"), F.col("size")))
+        dense = sizes.groupBy("parent").agg((kept / F.sum("size")).alias("share")).where(F.col("share") >= DENSE_SHARE)
+        dense = write_table(dense.select(F.col("parent").alias("node")), "dense")
+        leaves = leaves.unionByName(big.join(dense, "node", "left_semi").select("node", "key"))
+        several = sizes.where("size > 1").join(dense.withColumnRenamed("node", "parent"), "parent", "left_anti").select("node", "size")
+        found = write_table(rows.select("node", "key").join(write_table(several, "nodes"), "node"), "members")
         last = level == len(RATES) - 1
         leaves = leaves.unionByName((found if last else found.where(F.col("size") <= LEAF_SETS)).select("node", "key"))
         big = found.where(F.col("size") > LEAF_SETS)
