@@ -69,7 +69,7 @@ def write_package(sink, records: list[tuple]) -> None:
 def record_kinds(pages: DataFrame, id_column: str, html_column: str) -> DataFrame:
     """Pages with payload, digest, record kind and the response a revisit refers to."""
     base = pages.select(
-        quoted(id_column).cast("long").alias("page_id"), F.col("url"),
+        quoted(id_column).cast("long").alias("page_id"), quoted("url").cast("string").alias("url"),
         F.coalesce(quoted(html_column), F.lit("")).cast("binary").alias("payload"),
     ).withColumn("digest", F.sha2("payload", 256))
     long_enough = F.octet_length("payload") >= LEAST_REVISIT_BYTES

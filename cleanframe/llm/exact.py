@@ -134,13 +134,13 @@ def exact_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
 def keep_first(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``df`` with one row of each group of equal texts, the one with the smallest id."""
     found = groups(identities(df, id_column, text_column))
-    stay = write_table(found.where(F.col("id").eqNullSafe(F.col("keep_id"))).select("id", "digest", "copies"), "kept")
+    stay = write_table(found.where(F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("_stay_id"), F.col("digest").alias("_stay_digest"), F.col("copies").alias("_stay_copies")), "kept")
     tagged = df.withColumns({
         "_kept_id": quoted(id_column).cast("long"),
         "_kept_digest": F.xxhash64(normalised(quoted(text_column))),
     })
-    same = F.col("_kept_id").eqNullSafe(F.col("id")) & (F.col("_kept_digest") == F.col("digest"))
+    same = F.col("_kept_id").eqNullSafe(F.col("_stay_id")) & (F.col("_kept_digest") == F.col("_stay_digest"))
     marks = ("_kept_id", "_kept_digest")
-    once = tagged.join(stay.where("copies = 1").select("id", "digest"), same, "left_semi")
-    again = tagged.join(stay.where("copies > 1").select("id", "digest"), same, "left_semi")
+    once = tagged.join(stay.where("_stay_copies = 1"), same, "left_semi")
+    again = tagged.join(stay.where("_stay_copies > 1"), same, "left_semi")
     return once.drop(*marks).unionByName(again.dropDuplicates(list(marks)).drop(*marks))

@@ -339,7 +339,7 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     Of rows repeated with id and text one stays; a class without ids keeps one of its rows.
     """
     found = near_copies(df, id_column, text_column)
-    gone = write_table(found.where(~F.col("id").eqNullSafe(F.col("class_id"))).select("id", "digest").distinct(), "dropped")
+    gone = write_table(found.where(~F.col("id").eqNullSafe(F.col("class_id"))).select(F.col("id").alias("_gone_id"), F.col("digest").alias("_gone_digest")).distinct(), "dropped")
     tagged = df.withColumns({"_near_id": quoted(id_column).cast("long"), "_near_digest": F.xxhash64(F.coalesce(quoted(text_column).cast("string"), F.lit("")))})
-    same = F.col("_near_id").eqNullSafe(F.col("id")) & (F.col("_near_digest") == F.col("digest"))
+    same = F.col("_near_id").eqNullSafe(F.col("_gone_id")) & (F.col("_near_digest") == F.col("_gone_digest"))
     return tagged.join(gone, same, "left_anti").drop("_near_id", "_near_digest")

@@ -44,7 +44,7 @@ _CLASS[list(b"0123456789")] = _DIGIT
 _ODD = np.zeros(256, dtype=bool)
 _ODD[[x for x in range(32) if x not in b"\t\n\r"] + [127, 0xC2] + list(range(0xC6, 256))] = True
 _ODD_PAIRS = ((0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0), (0x3C, 0x7C))
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 400_000
 
 
 class WordEncoder:

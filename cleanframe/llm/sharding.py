@@ -20,6 +20,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cleanframe.schema import quoted
 from cleanframe.session import write_table
 
 
@@ -115,16 +116,16 @@ def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 1) -> DataFrame:
         "aggregate(counts, named_struct('at', 0L, 'ends', cast(array() as array<bigint>)), (a, x) -> named_struct('at', a.at + x, 'ends', concat(a.ends, array(a.at + x))), a -> a.ends)"
     ).alias("ends")).where("n > 0").select("block", "target", (F.col("ends")[F.col("target")] - F.col("n")).alias("start"), F.col("ends")[F.col("target")].alias("end"))
     ranges = ranges.select("*", F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"(end - 1) div {width}"))).alias("piece"))
-    ranges = write_table(ranges, "ranges")
+    ranges = write_table(ranges.select(*(F.col(c).alias(f"_range_{c}") for c in ranges.columns)), "ranges")
     rank = F.row_number().over(Window.partitionBy("_block").orderBy("_first", "_row")) - 1
     dealt = rows.withColumn("_rank", rank.cast("long")).withColumn("_piece", F.expr(f"_rank div {width}"))
-    here = (F.col("_block") == F.col("block")) & (F.col("_piece") == F.col("piece"))
-    dealt = dealt.join(ranges, here & (F.col("_rank") >= F.col("start")) & (F.col("_rank") < F.col("end")))
-    place = F.row_number().over(Window.partitionBy("target").orderBy("_second", "_row")) - 1
-    rows_of = shard_rows.replace("t div", "target div")
-    begin = F.expr(f"(target % {parts}) * ({rows_of} div {parts}) + least(target % {parts}, {rows_of} % {parts})")
+    here = (F.col("_block") == F.col("_range_block")) & (F.col("_piece") == F.col("_range_piece"))
+    dealt = dealt.join(ranges, here & (F.col("_rank") >= F.col("_range_start")) & (F.col("_rank") < F.col("_range_end")))
+    place = F.row_number().over(Window.partitionBy("_range_target").orderBy("_second", "_row")) - 1
+    rows_of = shard_rows.replace("t div", "_range_target div")
+    begin = F.expr(f"(_range_target % {parts}) * ({rows_of} div {parts}) + least(_range_target % {parts}, {rows_of} % {parts})")
     return dealt.withColumn("_place", place).select(
-        *df.columns, F.expr(f"int(target div {parts})").alias("shard"), (begin + F.col("_place")).cast("long").alias("slot"),
+        *(quoted(c) for c in df.columns), F.expr(f"int(_range_target div {parts})").alias("shard"), (begin + F.col("_place")).cast("long").alias("slot"),
     )
 
 

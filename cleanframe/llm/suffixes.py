@@ -238,7 +238,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["text_key", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def repeated_passages(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", batches: int = BATCHES) -> DataFrame:
+def repeated_passages(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", batches: int = BATCHES, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """One row per row: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``kept``
     (the remaining bytes of rows that lose some; null where nothing or everything goes)."""
     spark = df.sparkSession
@@ -267,7 +267,7 @@ def repeated_passages(df: DataFrame, id_column: str = "doc_id", text_column: str
     active = write_table(active.select("text_key", "text", "firsts"), "active")
     found = write_table(active.mapInArrow(_contexts, "head long, context long, text_key long, first long, n long, content binary"), "contexts")
     contents = found.where("content is not null").select("head", "context", "n", "content")
-    hot = write_table(contents.groupBy("head").agg(F.count("*").alias("m")).where(F.col("m") > HOT_CONTEXTS).select("head"), "hot")
+    hot = write_table(contents.groupBy("head").agg(F.count("*").alias("m")).where(F.col("m") > hot_contexts).select("head"), "hot")
     normal = contents.join(hot, "head", "left_anti")
     decided = normal.repartition("head").sortWithinPartitions("head").mapInArrow(_compare, "head long, context long, edges array<long>")
     windows = contents.join(hot, "head", "left_semi").mapInArrow(_windows, "head long, context long, n long, windows array<long>")
