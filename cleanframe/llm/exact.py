@@ -77,7 +77,7 @@ def identities(df: DataFrame, id_column: str, text_column: str, block: int = BLO
     """
     base = df.select(quoted(id_column).cast("long").alias("id"), normalised(quoted(text_column)).alias("text"))
     cut = base.select("id", F.xxhash64("text").alias("digest"), blocks_of("text", block).alias("blocks"))
-    rows = cut.select("id", "digest", F.size("blocks").alias("n"), F.posexplode("blocks").alias("pos", "content"))
+    rows = cut.select("id", "digest", F.size("blocks").alias("n"), F.lit(1).cast("long").alias("copies"), F.posexplode("blocks").alias("pos", "content"))
     level, finished, used = 0, [], []
     keys = ["content"]
     while True:
@@ -85,7 +85,7 @@ def identities(df: DataFrame, id_column: str, text_column: str, block: int = BLO
         used.append(current)
         finished.append(
             current.where("n = 1").groupBy("id", "digest")
-            .agg(F.count("*").alias("copies"), F.max("name").alias("name"))
+            .agg(F.sum("copies").alias("copies"), F.max("name").alias("name"))
             .withColumn("level", F.lit(level))
         )
         if current.where("n > 1").isEmpty():
@@ -94,6 +94,8 @@ def identities(df: DataFrame, id_column: str, text_column: str, block: int = BLO
             F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("left"),
             F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))).alias("right"),
             F.shiftright(F.max("n") + 1, 1).alias("n"),
+            # Repeated rows meet in their first pair; from there on their number is carried.
+            F.sum(F.when(F.col("pos") % 2 == 0, F.col("copies"))).alias("copies"),
         )
         rows = write_table(pairs, "pairs")
         used.append(rows)

@@ -3,8 +3,10 @@
 A page becomes a tree of elements and text blocks. Each node is described by its subtree's text
 density, link share, depth, place among its siblings and the tokens of its attributes. Nodes of a
 bounded sample of pages get labels from unambiguous mark-up (article elements, navigation, class
-names of known meaning); every sample node is used twice, once with tag and attribute features
-blanked, so that the trees also learn to decide by shape alone. Spark ML fits the trees.
+names of known meaning). Every sample node is used twice, once with tag and attribute features
+blanked, so that the trees also learn to decide by shape alone; and every sample page once more
+with passages of its own repeated in and around the article under names of other parts, so that
+they learn to trust such names there. Spark ML fits the trees.
 
 Decoding is hierarchical: a node can be in only if its parent is in, and a node that is out takes
 its whole subtree with it. Of all such choices the most likely one is taken, so an ancestor and a
@@ -31,9 +33,9 @@ from pyspark.sql import types as T
 from cleanframe.schema import quoted
 from cleanframe.session import ship_package, write_table
 
-SAMPLE_PAGES = 600
-TREES = 12
-DEPTH = 4
+SAMPLE_PAGES = 400
+TREES = 16
+DEPTH = 5
 
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
 _BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)
@@ -247,6 +249,26 @@ class Page:
         return "\n".join(blocks)
 
 
+def _varied(source: str) -> str:
+    """The page with passages under names of other parts, and its article under another name."""
+    start, end = source.find("<article"), source.find("</article>")
+    passages = [x for x in re.findall(r"<p>([^<]+)", source) if x.strip()]
+    if start < 0 or end < 0 or not passages:
+        return source
+    turn = sum(map(ord, source[:200])) + len(source)
+
+    def part(k: int) -> str:
+        other = [f'<div class="{w}">' for w in sorted(OTHER_WORDS)] + [f"<{t}>" for t in sorted(OTHER_TAGS - {"button", "select"})]
+        opening = other[(turn + 13 * k) % len(other)]
+        text = passages[(turn + k) % len(passages)]
+        return f"{opening}<p>{text}</p></{re.match('<([a-z]+)', opening).group(1)}>"
+
+    body = source[source.find(">", start) + 1:end] + part(1)
+    names = sorted(MAIN_WORDS)
+    opening, closing = ("<article>", "</article>") if turn % 2 else (f'<div class="{names[turn % len(names)]}">', "</div>")
+    return source[:start] + part(2) + opening + body + closing + part(3) + part(4) + source[end + 10:]
+
+
 class Trees:
     """Fitted boosted trees as arrays."""
 
@@ -294,14 +316,17 @@ def fit(pages: DataFrame, html_column: str = "html", sample_pages: int = SAMPLE_
         for batch in batches:
             rows, marks = [np.empty((0, FEATURES))], [np.empty(0)]
             for source in batch.column(0).to_pylist():
-                page = Page(source)
-                label = page.labels()
-                known = label >= 0
-                own = page.features()[known]
-                blank = own.copy()
-                blank[:, _BLANKED] = 0
-                rows += [own, blank]
-                marks += [label[known], label[known]]
+                for page, blanked in ((Page(source), True), (Page(_varied(source)), False)):
+                    label = page.labels()
+                    known = label >= 0
+                    own = page.features()[known]
+                    rows.append(own)
+                    marks.append(label[known])
+                    if blanked:
+                        blank = own.copy()
+                        blank[:, _BLANKED] = 0
+                        rows.append(blank)
+                        marks.append(label[known])
             flat = np.concatenate(rows)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * FEATURES), pa.array(flat.ravel()))
             yield pa.RecordBatch.from_arrays([lists, pa.array(np.concatenate(marks).astype(float))], ["x", "label"])
