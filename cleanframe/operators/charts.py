@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import numeric_columns, quoted
-from ..session import small_frame
+from ..session import aggregate_row, small_frame
 from .outliers import is_outlier
 from .profile import NumericStats, null_table, numeric_stats, outlier_counts
 
 HISTOGRAM_BINS, CARD_BINS = 30, 14
-SAMPLED_POINTS, GRID_POINTS, CORRELATED = 500, 200, 12
+SAMPLED_POINTS, GRID_POINTS = 500, 200
 NULL_VALUE = "(null)"
 
 
@@ -260,7 +260,7 @@ def correlations(df: DataFrame, columns: list[str]) -> dict[tuple[int, int], flo
     measures = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(x):
         measures += [F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
-    first = df.agg(*measures).first()
+    first = aggregate_row(df, measures)
     full = [first[f"n{i}"] == first["rows"] for i in range(size)]
     d = [c - F.lit(first[f"m{i}"]) for i, c in enumerate(x)]
 
@@ -280,7 +280,7 @@ def correlations(df: DataFrame, columns: list[str]) -> dict[tuple[int, int], flo
                 F.min(here).alias(f"alo{i}_{j}"), F.max(here).alias(f"ahi{i}_{j}"),
                 F.min(there).alias(f"blo{i}_{j}"), F.max(there).alias(f"bhi{i}_{j}"),
             ]
-    second = df.agg(*sums).first()
+    second = aggregate_row(df, sums)
     constant = [first[f"lo{i}"] == first[f"hi{i}"] for i in range(size)]
     result: dict[tuple[int, int], float | None] = {}
     for i in range(size):
@@ -305,8 +305,11 @@ def _rounded(value: float | None, digits: int) -> float | None:
     return None if value is None else round(value, digits) + 0.0  # no negative zero
 
 
-def correlation_matrix(df: DataFrame, max_columns: int = CORRELATED) -> DataFrame:
-    """Wide matrix of the first numeric columns, three decimals; null for constant columns."""
+def correlation_matrix(df: DataFrame, max_columns: int | None = None) -> DataFrame:
+    """Wide matrix of the numeric columns, three decimals; null for constant columns.
+
+    ``max_columns`` keeps the first ones only.
+    """
     names = numeric_columns(df)[:max_columns]
     r = correlations(df, names)
     rows = [
@@ -315,7 +318,7 @@ def correlation_matrix(df: DataFrame, max_columns: int = CORRELATED) -> DataFram
     return small_frame(df.sparkSession, rows, pa.schema([("column", pa.string())] + [(n, pa.float64()) for n in names]))
 
 
-def correlation_pairs(df: DataFrame, max_columns: int = CORRELATED) -> DataFrame:
+def correlation_pairs(df: DataFrame, max_columns: int | None = None) -> DataFrame:
     """Rows ``(x, y, r, strength)`` for every ordered pair with a correlation, two decimals."""
     names = numeric_columns(df)[:max_columns]
     r = correlations(df, names)

@@ -35,7 +35,7 @@ def drop_duplicates_on(df: DataFrame, subset: list[str], order_by: list, keep: s
     The rank-is-one filter lets Spark cut each key to a single row per task before the
     shuffle, so a hot key never lands whole in one task.
     """
-    order = [F.col(o) if isinstance(o, str) else o for o in order_by]
+    order = [quoted(o) if isinstance(o, str) else o for o in order_by]
     if keep == "last":
         order = [o.desc_nulls_last() for o in order]
     elif keep != "first":

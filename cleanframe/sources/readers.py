@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,10 +10,8 @@ from ..functions.text import strip
 from ..functions.vocabulary import READER_NULLS, SEPARATORS
 from ..operators.order import BROADCAST_CHUNKS
 from ..schema import nan_to_null, quoted
-from ..session import small_frame, write_table
+from ..session import write_table
 
-SNIFFED_CHARACTERS = 20_000
-_SNIFFED_LINES = 500
 _EXTENSIONS = {"csv": "csv", "txt": "csv", "tsv": "csv", "json": "json", "jsonl": "json", "parquet": "parquet"}
 
 
@@ -37,19 +34,11 @@ def read_file(
 # --- detection ------------------------------------------------------------------------------
 
 def separator_scores(spark: SparkSession, path: str) -> DataFrame:
-    """Rows ``(place, separator, least, most, total)`` over the head of the source.
+    """Rows ``(place, separator, least, most, total)`` over all lines of the source.
 
-    Only the first characters of the first lines are taken, which opens one file and not
-    all of them. Quoted parts are removed before counting.
+    Quoted parts are removed before counting. One aggregate, combined before its shuffle.
     """
-    start = F.substr("value", F.lit(1), F.lit(SNIFFED_CHARACTERS)).alias("value")
-    head, length = [], 0
-    for row in spark.read.text(path).select(start).take(_SNIFFED_LINES):
-        if length >= SNIFFED_CHARACTERS:
-            break
-        length += len(row["value"])
-        head.append({"value": row["value"]})
-    lines = small_frame(spark, head, pa.schema([("value", pa.string())]))
+    lines = spark.read.text(path)
     bare = lines.where(F.length(strip(F.col("value"))) > 0).select(F.regexp_replace("value", '"[^"]*"', "").alias("value"))
     marks = bare.select(
         F.inline(F.array(*[
@@ -142,14 +131,17 @@ def read_json(
     spark: SparkSession, path: str, multi_line: bool | None = None, flat: bool = True, row_id: str | None = None,
     schema=None,
 ) -> DataFrame:
-    """JSON records, one per line or as one array; nested objects become dotted columns.
+    """JSON records, one per line, as one array or as objects over several lines; nested
+    objects become dotted columns. All lines decide whether each is a record of its own.
 
     A given ``schema`` saves the pass that infers it. An array cannot be split: large
     sources should hold one record per line.
     """
     if multi_line is None:
-        head = spark.read.text(path).where(F.length(strip(F.col("value"))) > 0).first()
-        multi_line = bool(head) and head["value"].lstrip("﻿ \t").startswith("[")
+        line = strip(F.regexp_replace("value", "^\ufeff", ""))
+        whole = F.startswith(line, F.lit("{")) & F.endswith(line, F.lit("}"))
+        records = spark.read.text(path).agg(F.bool_and(F.when(F.length(line) > 0, whole)).alias("lines")).first()
+        multi_line = records["lines"] is False
     reader = spark.read.option("multiLine", multi_line)
     df = (reader.schema(schema) if schema is not None else reader).json(path)
     if row_id:

@@ -7,32 +7,28 @@ from pyspark.sql import functions as F
 from cleanframe import clean, read_csv, read_file, read_json, read_parquet, write_csv, write_json
 from cleanframe.sources import readers
 
-SAMPLE = """Cliente;Pontos;Valor;Bairro;Entrada
-  Rita  Melo ;30;1.200,50;Centro;03/02/2023
-davi reis;NA;900,00;  zona sul;17/05/2023
-  Rita  Melo ;30;1.200,50;Centro;03/02/2023
-Íris Nóbrega;44;;Centro;21/06/2023
-LEO PRADO;35;99.000,00;null;02/07/2023
-Ana Lua;;1.050,25;Centro;
-Bento Cruz;27;1.100,10;-;28/08/2023
-Nina Rosa;52;950,75;zona sul;30/09/2023
-"""
+COLUMNS = ("sku", "price", "in_stock", "shipped", "units", "kind")
+# Twelve clean rows, defects laid over single cells, and an early row once more at the end.
+CLEAN = [(f"K-{i:03d}", f"{40 + i},{5 * i:02d}", "sim" if i % 3 else "não", f"{2 * i + 1:02d}.11.2023".replace(".", "/"), str(200 - i), "lamp") for i in range(12)]
+DEFECTS = {(1, "kind"): " LAMP  ", (3, "units"): "N/A", (8, "price"): "7.777,00", (10, "price"): "", (5, "shipped"): "", (11, "kind"): "-", (6, "in_stock"): "null"}
+READ_AS_NULL = {(3, "units"), (10, "price"), (5, "shipped"), (6, "in_stock")}
 
 
 @pytest.fixture
 def sample(tmp_path):
-    path = tmp_path / "sample.csv"
-    path.write_text(SAMPLE, encoding="utf-8")
+    rows = [[DEFECTS.get((i, c), v) for c, v in zip(COLUMNS, row)] for i, row in enumerate(CLEAN)]
+    path = tmp_path / "stock.csv"
+    path.write_text("\n".join("|".join(r) for r in [COLUMNS, *rows, rows[2]]), encoding="utf-8")
     return str(path)
 
 
 def test_csv_reads_text_and_nulls(spark, sample):
-    df = read_csv(spark, sample, row_id="row_id").orderBy("row_id")
-    assert df.columns == ["row_id", "Cliente", "Pontos", "Valor", "Bairro", "Entrada"]
-    found = df.collect()
-    assert [r["row_id"] for r in found] == list(range(8))
-    assert found[1]["Pontos"] is None and found[4]["Bairro"] is None and found[6]["Bairro"] == "-"
-    assert found[0]["Cliente"] == "  Rita  Melo "
+    found = read_csv(spark, sample, row_id="n").orderBy("n").collect()
+    assert len(found) == 13 and tuple(found[0].asDict()) == ("n", *COLUMNS)
+    for r in found[:12]:
+        for c, v in zip(COLUMNS, CLEAN[r["n"]]):
+            at = (r["n"], c)
+            assert r[c] == (None if at in READ_AS_NULL else DEFECTS.get(at, v))
 
 
 def test_byte_order_mark_and_latin1(spark, tmp_path):
@@ -95,25 +91,26 @@ def test_writers(spark, tmp_path):
 
 
 def test_sample_file_from_reading_to_export(spark, sample, tmp_path):
-    raw = read_csv(spark, sample, row_id="row_id")
-    done = clean(raw, {"text": {"case": "Título"}, "rename": {"Valor": "Renda"}}, {"columns": {"Renda": {"outliers": "limitar"}}})
-    assert done.prepared.kinds == {
-        "Cliente": "categorical", "Pontos": "numeric", "Renda": "numeric", "Bairro": "categorical", "Entrada": "date",
-    }
+    done = clean(read_csv(spark, sample, row_id="row_id"), {"rename": {"units": "left"}}, {"columns": {"price": {"outliers": "clip"}}})
+    kinds = done.prepared.kinds
+    assert (kinds["price"], kinds["left"], kinds["shipped"], kinds["in_stock"]) == ("numeric", "numeric", "date", "boolean")
     out = {r["row_id"]: r for r in done.treated.df.collect()}
-    assert sorted(out) == [0, 1, 3, 4, 5, 6, 7]
-    assert out[0]["Cliente"] == "Rita Melo" and out[1]["Cliente"] == "Davi Reis"
-    assert all(r["Pontos"] is not None and r["Renda"] is not None and r["Bairro"] is not None and r["Entrada"] is not None for r in out.values())
-    assert out[5]["Entrada"] == out[4]["Entrada"]  # dates repeat the row before
-    assert out[4]["Renda"] < 99_000
-    flags = {r["row_id"]: r for r in done.changed().collect()}
-    assert not flags[0]["Renda_changed"] and flags[4]["Renda_changed"] and flags[3]["Renda_changed"]
-    assert flags[3]["Renda_imputed"] and not flags[4]["Renda_imputed"]
-    summary = done.summary().first()
-    assert (summary["duplicates"], summary["outliers"], summary["quality_after"]) == (1, 1, 100.0)
-    log = {(r["operation"], r["column"]): r for r in done.log_frame().collect()}
-    assert log["dedup", None]["n_cells"] == 1 and log["outliers", "Renda"]["n_cells"] == 1 and log["impute", "Entrada"]["n_cells"] == 1
-    assert done.preview(limit=3).count() == 3
-    assert done.profile().count() == 5
+    assert set(out) == set(range(12))
+    assert all(out[i][c] is not None for i, c in ((3, "left"), (10, "price"), (5, "shipped")))
+    assert 51 <= out[8]["price"] < 7_777
+    changes = {r["row_id"]: r for r in done.changed().collect()}
+    assert changes[10]["price_imputed"] and changes[8]["price_changed"] and not changes[4]["price_changed"]
+    counted = done.summary().first()
+    assert (counted["duplicates"], counted["outliers"]) == (1, 1)
     write_csv(done.df, str(tmp_path / "out"))
-    assert read_csv(spark, str(tmp_path / "out"), ",").count() == 7
+    assert read_csv(spark, str(tmp_path / "out"), ",").count() == 12
+
+
+def test_separator_is_judged_by_all_lines(spark, tmp_path):
+    (tmp_path / "late.txt").write_text("a;b,c\n" + "1;2,3\n" * 700 + "1,2;3,4\n" * 30)
+    assert readers.detect_separator(spark, str(tmp_path / "late.txt")) == ";"
+
+
+def test_json_objects_over_several_lines(spark, tmp_path):
+    (tmp_path / "one.json").write_text(json.dumps({"a": 1, "b": {"c": "x"}}, indent=2))
+    assert [tuple(r) for r in read_json(spark, str(tmp_path / "one.json")).collect()] == [(1, "x")]

@@ -154,6 +154,15 @@ def _(t):
     return charts.correlation_matrix(t.lineitem)
 
 
+_WIDE = {f"v{i}": f"cast((l_orderkey * {i} + l_partkey + l_linenumber) % {40 + 7 * i} as double)" for i in range(1, 15)}
+
+
+@query("correlation_wide", "with d as (select " + ", ".join(f"{e} as {n}" for n, e in _WIDE.items()) + " from lineitem) " + " union all ".join(
+    f"select '{a}' as \"column\", " + ", ".join(f"round_even(corr({a}, {b}), 3) + 0.0 as {b}" for b in _WIDE) + " from d" for a in _WIDE))
+def _(t):
+    return charts.correlation_matrix(t.lineitem.selectExpr(*(f"{e} as {n}" for n, e in _WIDE.items())))
+
+
 _GAPPY = ("event_id", "user_id", "value", "constant")
 
 
