@@ -169,6 +169,7 @@ def pieces(df: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in rows], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        encoder(tokenizer)._forget()  # workers are kept for other tasks; the words would stay with them
 
     chosen = df.select(quoted(id_column).cast("long").alias("doc_id"), quoted(text_column).cast("string").alias("text"))
     return chosen.mapInArrow(cut, PIECE_SCHEMA)
