@@ -50,14 +50,12 @@ class Words:
         self.starts, self.ends, self.rows = word_spans(low, borders)
         sums = prefix_sums(low)
         self.hashes = span_hash(sums, self.starts, self.ends)
-        length = self.ends - self.starts
         pieces = [self.hashes]
         for kind, size in enumerate((4, 5, 6)):
             part = span_hash(sums, self.starts, np.minimum(self.starts + size, self.ends))
             pieces.append(mix(part + np.uint64(kind + 1)))
         pieces.append(mix(span_hash(sums, np.maximum(self.ends - 4, self.starts), self.ends) + np.uint64(9)))
-        self.features = np.stack([(p % np.uint64(BUCKETS)).astype(np.int64) for p in pieces])
-        del length
+        self.features = np.stack([(p % np.uint64(BUCKETS)).astype(np.int32) for p in pieces])
         # A chain is a stretch of at most CHAIN words of one row.
         n = np.diff(self.rows)
         place = np.arange(len(self.starts)) - np.repeat(self.rows[:-1], n)
@@ -66,6 +64,18 @@ class Words:
         self.chain = np.cumsum(self.chain_start) - 1
 
 
+def joined(parts: list[Words]) -> Words:
+    """The words of several chunks as one, without their byte spans."""
+    out = Words.__new__(Words)
+    for name in ("hashes", "chain_start", "column"):
+        setattr(out, name, np.concatenate([getattr(p, name) for p in parts]))
+    out.features = np.concatenate([p.features for p in parts], axis=1)
+    out.chain = np.cumsum(out.chain_start) - 1
+    sizes = np.concatenate([np.diff(p.rows) for p in parts])
+    out.rows = np.concatenate([[0], np.cumsum(sizes)])
+    return out
+
+
 def marginals(scores: np.ndarray, chain: np.ndarray, column: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Per word: probability of the toxic state; per pair: expected moves; and the log partition.
 
@@ -215,8 +225,7 @@ def fit(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column
     none = ToxicityModel(np.zeros(BUCKETS), -20.0, np.zeros((2, 2)), np.array([np.log((share + 1e-6) / (1 - share + 1e-6)), 0, 0]))
     if not toxic.any() or toxic.all():
         return none
-    (_, data, borders), = chunks(sample.column(0), 1 << 62)
-    words = Words(data, borders)
+    words = joined([Words(data, borders) for _, data, borders in chunks(sample.column(0))])
     labelled = token_labels(words, toxic)
     # All chains with a toxic word and one in eight of the others carry the fit.
     with_toxic = np.bincount(words.chain, weights=labelled) > 0
