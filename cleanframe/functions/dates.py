@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .text import strip
 
-_TIME = r"([ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?"
+_TIME = r"([ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)?"
 _YEAR_LAST = rf"^(\d{{1,2}})[/.\-](\d{{1,2}})[/.\-](\d{{4}}){_TIME}$"
 _YEAR_FIRST = rf"^(\d{{4}})[/.\-](\d{{1,2}})[/.\-](\d{{1,2}}){_TIME}$"
 # Two-digit years: 00 to 75 belong to this century, 76 to 99 to the last
@@ -23,6 +23,14 @@ _THIS_CENTURY = rf"{_SHORT_DAY}(?<year>[0-6]\d|7[0-5]){_TIME}$"
 _LAST_CENTURY = rf"{_SHORT_DAY}(?<year>7[6-9]|[89]\d){_TIME}$"
 _NORMAL = rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}{_TIME}$"
 
+# Spellings that are rewritten first: a zone or half of the day after the time, a month by name.
+_ZONED = r"^(.*:\d{2}(?:\.\d{1,9})?(?: ?[AaPp][Mm])?) ?(Z|UTC|GMT|[+-]\d{2}:?\d{2})$"
+_HALF = r"^([^:]*[^\d:](\d{1,2}):\d{2}(?::\d{2}(?:\.\d{1,9})?)?) ?([AaPp])[Mm]$"
+_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+_DAY_MONTH = r"^(\d{1,2})[ \-/]m(\d{2}),?[ \-/](\d{4})"
+_MONTH_DAY = r"^m(\d{2}) (\d{1,2}),? (\d{4})"
+_COMPACT = r"^(\d{4})(\d{2})(\d{2})(?=$|[ T])"
+
 # Fixed pattern: what a value must contain before a column is tested for dates.
 DATE_LIKE = r"\d{1,4}[/\-.]\d{1,2}[/\-.]\d{1,4}"
 
@@ -36,8 +44,33 @@ def _normalised(s: Column, year_last: str) -> Column:
 
 
 def parse_date(c: Column, day_first: bool = True) -> Column:
-    """Timestamp from mixed date formats; the other day/month order is the fallback."""
-    s = F.regexp_replace(strip(c), _THIS_CENTURY, "${day}20${year}$3")
+    """Timestamp from mixed date formats; the other day/month order is the fallback.
+
+    A time with a zone is moved to UTC.
+    """
+    s = strip(c)
+    return F.coalesce(_numeric_date(s, day_first), _spelled_date(s, day_first))
+
+
+def _spelled_date(s: Column, day_first: bool) -> Column:
+    """Timestamp of a value with a zone, AM or PM, a month by name, or without separators."""
+    zone = F.regexp_extract(s, _ZONED, 2)
+    minutes = F.substring(zone, 2, 2).try_cast("int") * 60 + F.right(zone, F.lit(2)).try_cast("int")
+    minutes = F.coalesce(F.when(F.startswith(zone, F.lit("-")), -minutes).otherwise(minutes), F.lit(0))
+    s = F.regexp_replace(s, _ZONED, "$1")
+    half = F.lower(F.regexp_extract(s, _HALF, 3))
+    hour = F.regexp_extract(s, _HALF, 2).try_cast("int")
+    shift = F.when(half == "", 0).when(hour.between(1, 12), F.when(half == "a", F.when(hour == 12, -12).otherwise(0)).when(hour == 12, 0).otherwise(12))
+    s = F.regexp_replace(s, _HALF, "$1")
+    for i, name in enumerate(_MONTHS, 1):
+        s = F.regexp_replace(s, rf"(?i)\b{name[:3]}(?:{name[3:]})?\b\.?", f"m{i:02d}")
+    s = F.regexp_replace(F.regexp_replace(s, _DAY_MONTH, "$3-$2-$1"), _MONTH_DAY, "$3-$1-$2")
+    s = F.regexp_replace(s, _COMPACT, "$1-$2-$3")
+    return _numeric_date(s, day_first) + F.make_dt_interval(hours=shift, mins=-minutes)
+
+
+def _numeric_date(s: Column, day_first: bool) -> Column:
+    s = F.regexp_replace(s, _THIS_CENTURY, "${day}20${year}$3")
     s = F.regexp_replace(s, _LAST_CENTURY, "${day}19${year}$3")
     orders = ("$3-$2-$1$4", "$3-$1-$2$4")
     first, second = orders if day_first else orders[::-1]

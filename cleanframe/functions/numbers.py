@@ -7,6 +7,7 @@ from math import isfinite
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import is_null_spelling, strip
 
@@ -43,6 +44,22 @@ def dot_decimal_hit(c: Column) -> Column:
     return c.rlike(DOT_DECIMAL)
 
 
+def number_text(c: Column) -> Column:
+    """A floating-point number as text: plain digits from 1e-4 to below 1e16, else like ``1e+16``."""
+    s, size = c.cast("string"), F.abs(c)
+    digits = F.regexp_replace(s.try_cast("decimal(38,21)").cast("string"), r"0+$", "")
+    power = F.regexp_replace(s, r"(?:\.0)?E(\d)", "e+$1")
+    power = F.regexp_replace(F.regexp_replace(power, r"(?:\.0)?E-(\d)$", "e-0$1"), r"(?:\.0)?E-", "e-")
+    # Between these bounds the cast gives plain digits by itself.
+    short = (size == 0) | (size >= 1e-3) & (size < 1e7)
+    return F.when(short, s).when((size >= 1e-4) & (size < 1e16), F.regexp_replace(digits, r"\.$", ".0")).otherwise(power)
+
+
+def as_text(c: Column, dtype: T.DataType) -> Column:
+    """A column of any type as text."""
+    return number_text(c) if isinstance(dtype, (T.FloatType, T.DoubleType)) else c.cast("string")
+
+
 def round_half_even(c: Column) -> Column:
     return F.rint(c)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.numbers import as_text
 from ..functions.vocabulary import NUMERIC, TEXT, label
 from ..schema import dtype_of, quoted
 from .kinds import convert, detect_decimal_comma
@@ -16,12 +17,12 @@ from .kinds import convert, detect_decimal_comma
 TOLERANCE = 1e-9
 
 
-def _same(before: Column, after: Column, kind: str) -> Column:
+def _same(before: Column, after: Column, kind: str, types: tuple[T.DataType, T.DataType]) -> Column:
     if kind == NUMERIC:
         a, b = before.cast("double"), after.try_cast("double")
         close = F.abs(a - b) <= TOLERANCE * F.greatest(F.lit(1.0), F.abs(a))
         return (a.isNull() & b.isNull()) | F.coalesce(close, F.lit(False))
-    return before.cast("string").eqNullSafe(after.cast("string"))
+    return as_text(before, types[0]).eqNullSafe(as_text(after, types[1]))
 
 
 def changed_cells(
@@ -49,7 +50,7 @@ def changed_cells(
     joined = out.join(source, quoted(row_id) == F.col("__id"))
     return joined.select(
         *[quoted(n) for n in out.columns],
-        *[(~_same(F.col(f"__source{i}"), quoted(n), kind_of[n])).alias(f"{n}_changed") for i, n in enumerate(pairs)],
+        *[(~_same(F.col(f"__source{i}"), quoted(n), kind_of[n], (dtype_of(joined, f"__source{i}"), dtype_of(out, n)))).alias(f"{n}_changed") for i, n in enumerate(pairs)],
     )
 
 

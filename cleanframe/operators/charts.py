@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import numeric_columns, quoted
+from ..functions.numbers import as_text
+from ..schema import dtype_of, numeric_columns, quoted
 from ..session import aggregate_row, small_frame
 from .outliers import is_outlier
 from .profile import NumericStats, null_table, numeric_stats, outlier_counts
@@ -224,7 +225,7 @@ def _density(df: DataFrame, column: str, s: NumericStats, grid: list[float]) ->
 
 def top_values(df: DataFrame, column: str, n: int = 10) -> DataFrame:
     """The ``n`` most frequent values and the rest as one row, nulls as a value of their own."""
-    shown = df.select(F.coalesce(quoted(column).cast("string"), F.lit(NULL_VALUE)).alias("value"))
+    shown = df.select(F.coalesce(as_text(quoted(column), dtype_of(df, column)), F.lit(NULL_VALUE)).alias("value"))
     counts = shown.groupBy("value").agg(F.count(F.lit(1)).alias("rows"))
     best = counts.orderBy(F.col("rows").desc(), "value").limit(n)
     totals = counts.agg(F.sum("rows").alias("all"), F.count(F.lit(1)).alias("values"))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.numbers import as_text as text_of
+from ..functions.numbers import number_text
 from ..schema import dtype_of, is_integral, is_numeric, quoted
 
 # A value sits in one of three typed fields, so that ties go to the smallest by type.
@@ -25,9 +27,10 @@ def _pair(df: DataFrame, name: str, as_text: bool) -> Column:
     elif not as_text and is_numeric(dtype):
         home = "number"
     types = {"whole": "long", "number": "double", "text": "string"}
+    value = text_of(c, dtype) if home == "text" else c.cast(types[home])
     return F.struct(
         F.lit(name).alias("column"),
-        *[(c.cast(types[f]) if f == home else F.lit(None).cast(types[f])).alias(f) for f in _FIELDS],
+        *[(value if f == home else F.lit(None).cast(types[f])).alias(f) for f in _FIELDS],
     )
 
 
@@ -44,7 +47,7 @@ def value_frequency(df: DataFrame, columns: list[str], as_text: bool = False) ->
 
 def value_text() -> Column:
     """The value of a frequency row as text."""
-    return F.coalesce(F.col("text"), F.col("whole").cast("string"), F.col("number").cast("string"))
+    return F.coalesce(F.col("text"), F.col("whole").cast("string"), number_text(F.col("number")))
 
 
 def ranked(frequency: DataFrame, k: int) -> DataFrame:
@@ -83,6 +86,6 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, tuple[object, int]]:
 def common_values(df: DataFrame, columns: list[str] | None = None, limit: int = 300) -> DataFrame:
     """Values of one or several columns as text, most frequent first (a top-k report)."""
     names = [n for n in (columns or df.columns) if countable(df, n)]
-    values = df.select(F.explode(F.array(*[quoted(n).cast("string") for n in names])).alias("value"))
+    values = df.select(F.explode(F.array(*[text_of(quoted(n), dtype_of(df, n)) for n in names])).alias("value"))
     counts = values.where("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("rows"))
     return counts.orderBy(F.col("rows").desc(), "value").limit(limit)

@@ -18,10 +18,6 @@ from ..session import aggregate_row, small_frame
 BOOLEAN_SHARE, NUMERIC_SHARE, DATE_SHARE = 0.95, 0.9, 0.9
 REPEAT_RATIO, FEW_VALUES, FEW_VALUES_RATIO = 0.5, 20, 0.9
 
-# Columns with more values than this are first estimated with a sketch of 2^12 registers
-# (1.6% standard error); within ten errors of the threshold they are counted exactly.
-_COUNT_DIRECTLY, _SKETCH_SIZE, _SKETCH_MARGIN = 5_000_000, 12, 0.2
-
 
 def _count(condition: Column) -> Column:
     return F.count_if(condition)
@@ -65,8 +61,7 @@ def infer_kinds(
     """Kind of every column and the decimal-comma verdict of the text columns.
 
     One aggregate reads all text columns. Distinct values are counted only where the
-    other rules leave a column open, and in long columns only where an estimate is too
-    close to the threshold.
+    other rules leave a column open.
     ``sample`` looks at a fraction of the rows instead of all of them.
     """
     overrides = {k: label(v) for k, v in (overrides or {}).items() if k in df.columns}
@@ -138,28 +133,22 @@ def infer_kinds(
 def _repeat_kinds(values: DataFrame, indexes: list[int], counts: dict[int, int]) -> dict[int, str]:
     """Categorical or text, by how often values repeat."""
     kinds = {}
-    long = [i for i in indexes if counts[i] > _COUNT_DIRECTLY]
-    if long:
-        sketches = [F.hll_sketch_estimate(F.hll_sketch_agg(F.col(f"v{i}"), _SKETCH_SIZE)).alias(f"d{i}") for i in long]
-        row = values.agg(*sketches).first()
-        for i in long:
-            # Few distinct values imply a small ratio in a long column, so the ratio decides
-            ratio = row[f"d{i}"] / counts[i]
-            if abs(ratio - REPEAT_RATIO) > _SKETCH_MARGIN * REPEAT_RATIO:
-                kinds[i] = CATEGORICAL if ratio <= REPEAT_RATIO else TEXT
-    unsure = [i for i in indexes if i not in kinds]
-    if unsure:
-        for i, distinct in _exact_distinct(values, unsure).items():
-            ratio = distinct / counts[i]
-            repeats = ratio <= REPEAT_RATIO or (distinct <= FEW_VALUES and ratio < FEW_VALUES_RATIO)
-            kinds[i] = CATEGORICAL if repeats else TEXT
+    for i, distinct in _distinct_values(values, indexes).items():
+        ratio = distinct / counts[i]
+        repeats = ratio <= REPEAT_RATIO or (distinct <= FEW_VALUES and ratio < FEW_VALUES_RATIO)
+        kinds[i] = CATEGORICAL if repeats else TEXT
     return kinds
 
 
-def _exact_distinct(values: DataFrame, indexes: list[int]) -> dict[int, int]:
-    pairs = values.select(
-        F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v")) for i in indexes]))
-    ).where("v is not null")
+def _distinct_values(values: DataFrame, indexes: list[int]) -> dict[int, int]:
+    """Distinct values per column, counted on two 64-bit hashes so that no long text is shuffled."""
+    if not indexes:
+        return {}
+    hashed = []
+    for i in indexes:
+        v = F.col(f"v{i}")
+        hashed.append(F.struct(F.lit(i).alias("i"), F.when(v.isNotNull(), F.xxhash64(v)).alias("a"), F.xxhash64(F.lit(1), v).alias("b")))
+    pairs = values.select(F.inline(F.array(*hashed))).where("a is not null")
     counted = pairs.distinct().groupBy("i").count()
     return {r["i"]: r["count"] for r in counted.collect()}
 
@@ -194,7 +183,7 @@ def convert(c: Column, dtype: T.DataType, kind: str, decimal_comma: bool = False
     if kind in (TEXT, CATEGORICAL):
         if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)):
             return c
-        return c.cast("string")
+        return numbers.as_text(c, dtype)
     raise ValueError(f"unknown kind: {kind!r}")
 
 

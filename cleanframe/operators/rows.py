@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.vocabulary import COMPARISONS, FALSE_SPELLINGS, FILTER_OPERATORS, TRUE_SPELLINGS, label
 from ..functions.dates import date_or_none
-from ..functions.numbers import number_or_none
+from ..functions.numbers import as_text, number_or_none
 from ..schema import dtype_of, is_date, is_numeric, quoted
 from ..session import small_frame
 
@@ -90,7 +90,7 @@ def filter_condition(df: DataFrame, rule: dict) -> Column | None:
     if op == "is not null":
         return c.isNotNull()
     if op in ("contains", "not contains"):
-        found = F.coalesce(F.contains(F.lower(c.cast("string")), F.lower(F.lit(str(raw)))), F.lit(False))
+        found = F.coalesce(F.contains(F.lower(as_text(c, dtype)), F.lower(F.lit(str(raw)))), F.lit(False))
         return found if op == "contains" else ~found
     if is_numeric(dtype):
         value = number_or_none(raw)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numbers import number_or_none
+from ..functions.numbers import as_text, number_or_none
 from ..functions.text import strip
 from ..functions.vocabulary import RULE_MODES, label
 from ..schema import dtype_of, is_numeric, quoted
@@ -36,14 +36,19 @@ class Replaced:
 
 
 def java_pattern(pattern: str) -> str:
-    """Python regex syntax in Java terms (named groups, Unicode classes)."""
-    pattern = re.sub(r"\(\?P<", "(?<", pattern)
-    pattern = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern)
+    """Python regex syntax in Java terms (named groups, Unicode classes).
+
+    Groups are renamed by their number, since Java allows fewer characters in names.
+    """
+    for name, number in re.compile(pattern).groupindex.items():
+        pattern = re.sub(rf"(?<!\\)((?:\\\\)*)\(\?P<{name}>", rf"\1(?<g{number}>", pattern)
+        pattern = re.sub(rf"(?<!\\)((?:\\\\)*)\(\?P={name}\)", rf"\1\\k<g{number}>", pattern)
     return "(?U)" + pattern
 
 
-def java_replacement(text: str) -> str:
+def java_replacement(text: str, pattern: str = "") -> str:
     """Python replacement template (``\\1``, ``\\g<name>``) in Java terms."""
+    named = re.compile(pattern).groupindex
     parts = re.split(r"(\\g<\w+>|\\\d{1,2})", text)
     result = ""
     for part in parts:
@@ -51,7 +56,7 @@ def java_replacement(text: str) -> str:
             result += "$" + part[1:]
         elif part.startswith("\\g<"):
             name = part[3:-1]
-            result += "$" + name if name.isdigit() else "${" + name + "}"
+            result += f"${{g{named[name]}}}" if name in named else "$" + name
         else:
             result += part.replace("\\", "\\\\").replace("$", "\\$")
     return result
@@ -86,7 +91,7 @@ def _text_change(c: Column, find: str, repl: str, mode: str, case: bool) -> tupl
             hit, new = c.rlike(pattern), F.regexp_replace(c, pattern, re.sub(r"([\\$])", r"\\\1", repl))
     else:
         pattern = ("" if case else "(?i)") + java_pattern(find)
-        hit, new = c.rlike(pattern), F.regexp_replace(c, pattern, java_replacement(repl))
+        hit, new = c.rlike(pattern), F.regexp_replace(c, pattern, java_replacement(repl, find))
     return hit, F.when(strip(new) != "", new)
 
 
@@ -101,11 +106,11 @@ def _column_change(df: DataFrame, name: str, find: str, repl: str, mode: str, ca
             if repl == "":
                 return hit, F.when(~hit, c)
             if target is None:
-                return hit, F.when(hit, F.lit(repl)).otherwise(c.cast("string"))
+                return hit, F.when(hit, F.lit(repl)).otherwise(as_text(c, dtype))
             if isinstance(dtype, T.IntegralType) and not target.is_integer():
                 return hit, F.when(hit, F.lit(target)).otherwise(c.cast("double"))
             return hit, F.when(hit, F.lit(target).cast(dtype)).otherwise(c)
-    text = c.cast("string")
+    text = as_text(c, dtype)
     hit, new = _text_change(text, find, repl, mode, case)
     hit = F.coalesce(hit, F.lit(False))
     return hit, F.when(hit, new).otherwise(text)

@@ -1,5 +1,8 @@
 from datetime import datetime
 
+import pytest
+from pyspark.sql import functions as F
+
 from cleanframe.functions import booleans, dates, numbers, text
 from cleanframe.functions.vocabulary import label
 from cleanframe.operators.columns import snake_names
@@ -122,3 +125,21 @@ def test_snake_names_are_unique():
 
 def test_labels():
     assert label("média") == "mean" and label("mean") == "mean" and label("numérico") == "numeric"
+
+
+@pytest.mark.parametrize("spelling, moment", [
+    ("2024-01-02T10:00:00Z", datetime(2024, 1, 2, 10)), ("2024-01-02 10:00:00+02:00", datetime(2024, 1, 2, 8)),
+    ("2024-01-02T22:30:00.5-0230", datetime(2024, 1, 3, 1, 0, 0, 500000)), ("12 Jan 2024", datetime(2024, 1, 12)),
+    ("Jan 2, 2024", datetime(2024, 1, 2)), ("5 September 2023 07:08", datetime(2023, 9, 5, 7, 8)), ("20240102", datetime(2024, 1, 2)),
+    ("02/01/2024 10:00 PM", datetime(2024, 1, 2, 22)), ("2024-01-02 12:15:00 am", datetime(2024, 1, 2, 0, 15)), ("2024-01-02 13:00 PM", None),
+    ("2024-01-02 10:00:00.1234567", datetime(2024, 1, 2, 10, 0, 0, 123456)), ("01-12-2024", datetime(2024, 12, 1)), ("Janet 2, 2024", None), ("2024", None),
+])
+def test_date_spellings(spark, spelling, moment):
+    df = spark.createDataFrame([(spelling,)], "v string")
+    assert df.select(dates.parse_date(F.col("v"))).first()[0] == moment
+
+
+def test_number_text(spark):
+    wanted = [12345678.9, 0.00012, 1e-5, 1.5e-10, 1e16, 1.5e17, 123456789012345.0, 0.0, -0.5, -98765432.25, 1e7, 0.001, 5e-4]
+    df = spark.createDataFrame([(v,) for v in wanted], "v double")
+    assert [r[0] for r in df.select(numbers.number_text(F.col("v"))).collect()] == [repr(v) for v in wanted]

@@ -47,8 +47,7 @@ def test_infer_kind_of_typed_columns_and_overrides(spark):
     assert comma == {"e": False}
 
 
-def test_long_columns_are_estimated_first(spark, monkeypatch):
-    monkeypatch.setattr(kinds, "_COUNT_DIRECTLY", 10)
+def test_repeated_values_make_a_category(spark):
     df = spark.range(1000).selectExpr("concat('w', id) as words", "concat('w', id % 7) as few", "concat('w', id % 510) as close")
     assert kinds.infer_kinds(df)[0] == {"words": "text", "few": "categorical", "close": "text"}
 
@@ -95,6 +94,12 @@ def test_rules_on_text(spark):
     assert values(rules.apply_rules(df, [rule("v", r"^(?P<h>.)(b)", r"\g<h>-\2$", "regex")]).df) == ["A-b$", "a-b$", "xaby", "a-b$ ", None]
 
 
+def test_group_names_with_underscores(spark):
+    df = spark.sql("select * from values (1, 'ab-ab'), (2, 'ab-cd') as t(i, v)")
+    done = rules.apply_rules(df, [rule("v", r"^(?P<first_part>\w+)-(?P=first_part)$", r"\g<first_part>2", "regex")])
+    assert done.errors == [None] and values(done.df) == ["ab2", "ab-cd"]
+
+
 def test_literal_with_regex_quotes(spark):
     df = frame(spark, [r"a\Eb.c", "a.c"], "string")
     assert values(rules.apply_rules(df, [rule("v", r"A\EB.", "x", "contains")]).df) == ["xc", "a.c"]
