@@ -256,7 +256,9 @@ def repeated_passages(df: DataFrame, id_column: str = "doc_id", text_column: str
         repeated = found if repeated is None else repeated.unionByName(found)
     family.drop()
     # A long run of copies has the same suffixes many times; each text counts once.
-    wanted = stored.join(repeated.distinct(), "head", "left_semi").groupBy("text_key").agg(F.collect_set("first").alias("firsts"))
+    # The heads are written first: the join shuffles both sides, and Spark can split a hot head.
+    heads = write_table(repeated.distinct(), "heads")
+    wanted = stored.join(heads, "head", "left_semi").groupBy("text_key").agg(F.collect_set("first").alias("firsts"))
     wanted = write_table(wanted, "wanted")
     drop_table(stored)
 
