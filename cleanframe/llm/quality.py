@@ -197,15 +197,18 @@ def fit(df: DataFrame, text_column: str = "text", sample_rows: int = SAMPLE_ROWS
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, codes = [], []
-            for _, data, borders in chunks(batch.column(0)):
+            for _, data, borders in chunks(batch.column(1)):
                 tokens = Tokens(data, borders)
                 codes += (votes(data, borders, tokens) @ 3 ** np.arange(LABELLERS)).tolist()
                 for a, b in zip(tokens.rows[:-1], tokens.rows[1:]):
                     rows.append(_thinned(tokens.buckets[:, a:b].ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], ["pattern", "buckets"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(codes, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], ["key", "pattern", "buckets"])
 
-    picked = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(1_000_003 * share_taken) + 1)
-    sample = picked.mapInArrow(features, "pattern long, buckets array<long>").toArrow()
+    # Each text once: all copies of a text are picked together, and may be a third of all rows.
+    picked = texts.select(F.xxhash64("text").alias("key"), "text").where(F.pmod("key", F.lit(1_000_003)) < int(1_000_003 * share_taken) + 1)
+    picked = picked.groupBy("key").agg(F.min("text").alias("text"))
+    sample = picked.mapInArrow(features, "key long, pattern long, buckets array<long>").toArrow().sort_by("key").drop_columns("key")
     codes = sample.column(0).to_numpy()
     buckets = [np.array(x, dtype=np.int64) for x in sample.column(1).to_pylist()]
     soft = posterior(codes[:, None] // 3 ** np.arange(LABELLERS) % 3, share, table)
