@@ -3,7 +3,8 @@
 Fixed masks pick some of the words of a window and ignore the others, so a window still hashes
 alike after a substitution at an ignored place. Hashes of the documents are joined with those of
 the benchmark, and around each hit item and document are compared word by word along the same
-diagonal: an overlap is the best-scoring run of matching words with a few substitutions in it.
+diagonal: an overlap is a run of at least ``LEAST_WORDS`` matching words that are ``LEAST_SHARE`` of
+it. Every diagonal with such a run has an overlap; overlaps of one diagonal do not intersect.
 
 The benchmark is a broadcast of bounded size: one above ``BLOCK_BYTES`` is split into blocks that
 are compared one after the other in the same pass. Documents are never shuffled.
@@ -15,6 +16,7 @@ no overlaps. Repeated rows are compared like others; all columns of the table st
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,7 @@ from .words import chunks, lower, mix, powers, word_hashes
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 5, 8, 9), (0, 2, 3, 6, 8, 11), (0, 1, 4, 7, 9, 10))
 LEAST_WORDS = 12
 LEAST_SHARE = 0.8
+_SHARE = Fraction(str(LEAST_SHARE))
 BLOCK_BYTES = 16_000_000
 _FILTER_BITS = 22
 OVERLAP = T.ArrayType(T.StructType([
@@ -84,21 +87,40 @@ class SeedIndex:
         return np.concatenate(out)
 
 
-def best_overlap(document: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int] | None:
-    """Best run of agreeing words on one diagonal: (first, end, matched) in the document's words.
+def best_run(same: np.ndarray) -> tuple[int, int, int] | None:
+    """The run with the most agreeing words of all runs that count: (first, end, agreeing).
 
-    A match counts one, a substitution minus two; the run with the highest sum is judged.
+    A run counts if it has ``LEAST_WORDS`` agreeing words and they are ``LEAST_SHARE`` of it. It
+    starts and ends with an agreeing word.
+    """
+    matched = np.concatenate([[0], np.cumsum(same)])
+    # A run has the share if the sum at its end is not below that at its start.
+    sums = matched * _SHARE.denominator - np.arange(len(matched)) * _SHARE.numerator
+    # For each end the first start with the share; it has the most agreeing words.
+    starts = np.searchsorted(-np.minimum.accumulate(sums), -sums, side="left")
+    counts = matched - matched[starts]
+    end = int(np.argmax(counts))
+    if counts[end] < LEAST_WORDS:
+        return None
+    places = np.flatnonzero(same[starts[end]:end]) + starts[end]
+    return int(places[0]), int(places[-1]) + 1, int(counts[end])
+
+
+def diagonal_overlaps(document: np.ndarray, item: np.ndarray, shift: int) -> list[tuple[int, int, int]]:
+    """Runs of agreeing words on one diagonal: (first, end, agreeing) in the document's words.
+
+    The best run, then those in what is left before and after it.
     """
     low, high = max(0, shift), min(len(document), shift + len(item))
     same = document[low:high] == item[low - shift:high - shift]
-    sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-    gain = sums - np.minimum.accumulate(sums)
-    end = int(np.argmax(gain))
-    start = int(np.argmin(sums[:end + 1])) if end else 0
-    matched = int(same[start:end].sum())
-    if matched < LEAST_WORDS or matched < LEAST_SHARE * (end - start):
-        return None
-    return low + start, low + end, matched
+    found, parts = [], [(0, len(same))]
+    while parts:
+        a, b = parts.pop()
+        run = best_run(same[a:b]) if b - a >= LEAST_WORDS else None
+        if run:
+            found.append((low + a + run[0], low + a + run[1], run[2]))
+            parts += [(a, a + run[0]), (a + run[1], b)]
+    return sorted(found)
 
 
 def overlaps(df: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", into: str = "overlaps") -> DataFrame:
@@ -132,8 +154,7 @@ def _comparer(index: SeedIndex, place: int):
                     continue
                 row = np.searchsorted(rows, hits[:, 0], side="right") - 1
                 for r, item, shift in np.unique(np.stack([row, hits[:, 1], hits[:, 0] - rows[row] - hits[:, 2]], axis=1), axis=0).tolist():
-                    run = best_overlap(words[rows[r]:rows[r + 1]], index.items[item], shift)
-                    if run:
+                    for run in diagonal_overlaps(words[rows[r]:rows[r + 1]], index.items[item], shift):
                         found.setdefault(first + r, []).append(dict(zip(("item_id", "start_word", "end_word", "matched_words"), (index.ids[item], *run))))
             before = batch.column(batch.num_columns - 1).to_pylist() if batch.num_rows else []
             merged = pa.array([old + found.get(k, []) for k, old in enumerate(before)], kind)

@@ -321,6 +321,28 @@ def test_benchmark_blocks_give_the_same(documents, spark, monkeypatch):
                 assert (d.doc_id, i) in whole
 
 
+def test_a_diagonal_counts_if_any_of_its_runs_does(spark):
+    rng = np.random.default_rng(5)
+
+    def marks(*lengths):
+        return np.concatenate([np.full(n, k % 2 == 0) for k, n in enumerate(lengths)])
+
+    cases = [marks(12, *[1, 3] * 22), marks(12, 5, 12, 5, 12), marks(11, 9, 4, 1, 4, 1, 4, 1), marks(11, 4, 11)]
+    cases += [rng.random(rng.integers(1, 70)) >= rng.choice([0.1, 0.22, 0.3, 0.4]) for _ in range(400)]
+    for same in cases:
+        n = np.concatenate([[0], np.cumsum(same)])
+        brute = max((n[b] - n[a] for b in range(len(n)) for a in range(b) if n[b] - n[a] >= 12 and 10 * (n[b] - n[a]) >= 8 * (b - a)), default=None)
+        item = np.arange(len(same), dtype=np.uint64)
+        found = decontaminate.diagonal_overlaps(np.concatenate([[999], np.where(same, item, 1000 + item)]), item, 1)
+        assert max((k for *_, k in found), default=None) == brute
+        assert all(same[a - 1:b - 1].sum() == k >= 12 and 10 * k >= 8 * (b - a) for a, b, k in found)
+        assert all(x[1] <= y[0] for x, y in zip(found, found[1:]))
+    words = [f"w{k}" for k in range(100)]
+    df = spark.createDataFrame([(k, " ".join(w if s else f"new{w}" for w, s in zip(words, same))) for k, same in enumerate(cases[:2])], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    assert {r.doc_id: r.overlaps[0].item_id for r in decontaminate.overlaps(df, benchmark).collect() if r.overlaps} == {0: 7, 1: 7}
+
+
 # --- Archives ----------------------------------------------------------------------------
 
 def test_archives_round_trip(spark):
