@@ -102,8 +102,8 @@ def _profile(runs: int):
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(node[order].view(np.int64)))
                 part = batch.slice(first, len(sizes))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), _keys(signature(flat, borders)), pa.array(sizes, pa.int64()), lists],
-                    ["id", "digest", "key", "n", "nodes"])
+                    [part.column(0), part.column(2), part.column(3), _keys(signature(flat, borders)), pa.array(sizes, pa.int64()), lists],
+                    ["id", "row", "digest", "key", "n", "nodes"])
 
     return profile
 
@@ -132,17 +132,6 @@ def _children(level: int):
     return children
 
 
-def _matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text) of the rows whose text has the key: ids may be repeated."""
-    for batch in batches:
-        same = [np.empty(0, bool)]
-        wanted = batch.column(0).to_pylist()
-        for first, flat, borders in _sets_of(batch.column(1)):
-            found = _keys(signature(flat, borders)).to_pylist()
-            same.append(np.array([a == b for a, b in zip(found, wanted[first:])], dtype=bool))
-        yield batch.filter(pa.array(np.concatenate(same)))
-
-
 def _bit_rows(row: np.ndarray, column: np.ndarray, m: int) -> np.ndarray:
     """Packed bits of (row, column) pairs; columns are renumbered."""
     place = np.unique(column, return_inverse=True)[1] if len(column) else column
@@ -274,23 +263,34 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("key", "label")
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """``df`` with a row number, written: ids may be null or repeated, and numbers differ from pass to pass."""
+    return write_table(df.withColumn("_near_row", F.monotonically_increasing_id()), "numbered")
+
+
 def near_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row: ``id``, ``digest`` (of the text), ``class_id`` (smallest id linked to it
     directly or through others) and ``n_links`` (other rows of similarity 0.8 or more)."""
-    ship_package(df.sparkSession)
     text = F.coalesce(quoted(text_column).cast("string"), F.lit(""))
-    base = df.select(quoted(id_column).cast("long").alias("id"), text.alias("text"))
-    base = base.withColumn("digest", F.xxhash64("text"))
+    base = _numbered(df.select(quoted(id_column).cast("long").alias("id"), text.alias("text")))
+    return _classes(base, "id", "text").select("id", "digest", "class_id", "n_links")
+
+
+def _classes(numbered: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """What ``near_copies`` returns, with ``row`` and ``stays``: true for one row of each class."""
+    ship_package(numbered.sparkSession)
+    text = F.coalesce(quoted(text_column).cast("string"), F.lit(""))
+    base = numbered.select(quoted(id_column).cast("long").alias("id"), text.alias("text"), F.col("_near_row").alias("row"))
     profiles = write_table(
-        base.select("id", "text", "digest").mapInArrow(_profile(runs_needed()), "id long, digest long, key binary, n long, nodes array<long>"), "profiles")
+        base.select("id", "text", "row", F.xxhash64("text").alias("digest"))
+        .mapInArrow(_profile(runs_needed()), "id long, row long, digest long, key binary, n long, nodes array<long>"), "profiles")
+    # The first row is that with the smallest id, and of those the smallest number; null ids come last.
     sets = write_table(profiles.where("n > 0").groupBy("key").agg(
-        F.min("id").alias("first"), F.count("*").alias("copies"), F.first("nodes").alias("nodes")), "sets")
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.count("*").alias("copies"), F.first("nodes").alias("nodes")), "sets")
 
     members = _counted(sets.select("key", F.explode("nodes").alias("node")))
-    active = members.select("key").distinct().join(sets.select("key", "first", "copies"), "key")
-    active = write_table(
-        active.join(base.select(F.col("id"), "text"), F.col("first").eqNullSafe(F.col("id"))).select("key", "text", "copies")
-        .mapInArrow(_matching, "key binary, text string, copies long"), "active")
+    active = members.select("key").distinct().join(sets.select("key", F.col("first.row").alias("row"), "copies"), "key")
+    active = write_table(active.join(base.select("row", "text"), "row").select("key", "text", "copies"), "active")
     leaves = members.where(F.col("size") <= LEAF_SETS).select("node", "key")
     big = members.where(F.col("size") > LEAF_SETS)
     for level in range(1, len(RATES)):
@@ -327,19 +327,21 @@ def near_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     labels = components(compared.select("key", "root").distinct())
     classes = sets.select("key", "first", "copies").join(links, "key", "left").join(labels, "key", "left")
     classes = write_table(classes.select("key", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "key").alias("label")), "classes")
-    heads = write_table(classes.groupBy("label").agg(F.min("first").alias("class_id")), "heads")
-    named_sets = write_table(classes.join(heads, "label").select("key", "class_id", (F.col("copies") - 1 + F.col("links")).alias("n_links")), "classes")
-    out = profiles.select("id", "digest", "key").join(named_sets, "key", "left")
-    return out.select("id", "digest", F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    heads = write_table(classes.groupBy("label").agg(F.min("first").alias("head")), "heads")
+    named_sets = write_table(classes.join(heads, "label").select("key", "head", (F.col("copies") - 1 + F.col("links")).alias("n_links")), "classes")
+    out = profiles.select("id", "row", "digest", "key").join(named_sets, "key", "left")
+    alone = F.col("n_links").isNull()
+    return out.select(
+        "id", "row", "digest", F.when(alone, F.col("id")).otherwise(F.col("head.id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (alone | (F.col("row") == F.col("head.row"))).alias("stays"))
 
 
 def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``df`` with one document of each class, the one with the smallest id.
+    """``df`` with one row of each class, one with the smallest id.
 
-    Of rows repeated with id and text one stays; a class without ids keeps one of its rows.
+    Of rows repeated with id and text one stays; a class without ids keeps one of its rows. Texts
+    without words are in no class and all stay.
     """
-    found = near_copies(df, id_column, text_column)
-    gone = write_table(found.where(~F.col("id").eqNullSafe(F.col("class_id"))).select(F.col("id").alias("_gone_id"), F.col("digest").alias("_gone_digest")).distinct(), "dropped")
-    tagged = df.withColumns({"_near_id": quoted(id_column).cast("long"), "_near_digest": F.xxhash64(F.coalesce(quoted(text_column).cast("string"), F.lit("")))})
-    same = F.col("_near_id").eqNullSafe(F.col("_gone_id")) & (F.col("_near_digest") == F.col("_gone_digest"))
-    return tagged.join(gone, same, "left_anti").drop("_near_id", "_near_digest")
+    numbered = _numbered(df)
+    gone = write_table(_classes(numbered, id_column, text_column).where(~F.col("stays")).select(F.col("row").alias("_near_row")), "dropped")
+    return numbered.join(gone, "_near_row", "left_anti").drop("_near_row")

@@ -167,6 +167,33 @@ def test_keep_one_keeps_columns_and_one_of_each_class(rows, nothing):
     assert nearcopies.keep_one(nothing).count() == 0
 
 
+def test_keep_one_keeps_one_row_of_classes_with_null_or_repeated_ids(spark, rows):
+    assert Counter(r.doc_id for r in nearcopies.keep_one(rows).collect()) == Counter([1, 2, 3, 4, 5, 8, 8, 9, 10, 11, None])
+    words = PROSE.split()
+    data = [(i, " ".join(words[at:at + 60] + [f"end{k}"])) for i, at in ((None, 0), (50, 100), (60, 200)) for k in (1, 2, 2, 3)]
+    data += [(None, words[at]) for at in range(5)] + [(61, data[-1][1])]
+    out = nearcopies.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert Counter(r.doc_id for r in out) == Counter([None, 50, 60] + [None] * 5)
+    assert set(out) <= set(data)
+
+
+def test_texts_are_picked_once_whatever_the_ids(spark, monkeypatch):
+    """Sets that share nodes meet one row each, though all rows have one id."""
+    tables = {}
+    write = nearcopies.write_table
+
+    def noted(df, purpose):
+        tables[purpose] = write(df, purpose)
+        return tables[purpose]
+
+    monkeypatch.setattr(nearcopies, "write_table", noted)
+    texts = [" ".join(PROSE.split()[:60] + [f"end{k // 2}"]) for k in range(40)]
+    for i in (None, 3):
+        df = spark.createDataFrame([(i, t) for t in texts], "doc_id long, text string")
+        assert {(r.class_id, r.n_links) for r in nearcopies.near_copies(df).collect()} == {(i, 39)}
+        assert tables["active"].count() == 20
+
+
 # --- Repeated passages -------------------------------------------------------------------
 
 def brute_removed(texts):
