@@ -12,7 +12,7 @@ bucket receives a hot value.
 
 Defined results: a null text counts as empty, and empty texts are equal. A null id never stays
 where the group has another id. Rows repeated with id and text are one row for the naming; the
-report lists each of them, ``keep_first`` leaves one. Columns other than id and text pass
+report lists and counts each of them, ``keep_first`` leaves one. Columns other than id and text pass
 through untouched; an empty table gives an empty result.
 """
 
@@ -110,8 +110,8 @@ def identities(df: DataFrame, id_column: str, text_column: str, block: int = BLO
 
 
 def groups(ids: DataFrame) -> DataFrame:
-    """``ids`` with ``keep_id`` (smallest id of the equal texts) and ``group_size`` (distinct rows)."""
-    found = ids.groupBy("level", "name").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
+    """``ids`` with ``keep_id`` (smallest id of the equal texts) and ``group_size`` (their rows)."""
+    found = ids.groupBy("level", "name").agg(F.min("id").alias("keep_id"), F.sum("copies").alias("group_size"))
     # Written so that the join shuffles both sides, and Spark can split the part of a hot group.
     several = write_table(found.where("group_size > 1"), "groups")
     joined = ids.join(several, ["level", "name"], "left")

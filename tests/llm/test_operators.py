@@ -7,8 +7,10 @@ import zipfile
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +98,15 @@ def test_exact_copies_on_awkward_rows(rows):
     assert got == expected
 
 
+def test_repeated_rows_match_the_sql(spark, tmp_path):
+    data = [*((i, t) for i, t in ROWS if i is not None), (20, PROSE * 3), (20, PROSE * 3), (20, PROSE * 3), (21, PROSE * 3), (3, ""), (8, "short  text")]
+    pq.write_table(pa.table({"doc_id": pa.array([i for i, _ in data], pa.int64()), "text": pa.array([t for _, t in data], pa.string())}), tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet')")
+    name = "op4_exact_dedup"
+    assert differences(spark, con, all_queries()[name], all_oracles()[name], str(tmp_path)) is None
+
+
 def test_blocks_of_any_size_name_alike(rows):
     small = exact.identities(rows, "doc_id", "text", block=7)
     large = exact.identities(rows, "doc_id", "text")
