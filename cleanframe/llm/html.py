@@ -311,6 +311,8 @@ def fit(pages: DataFrame, html_column: str = "html", sample_pages: int = SAMPLE_
     share = min(1.0, sample_pages / total)
     source = F.coalesce(quoted(html_column).cast("string"), F.lit(""))
     picked = pages.select(source.alias("html")).where(F.pmod(F.xxhash64("html"), F.lit(1_000_003)) < int(1_000_003 * share) + 1)
+    # Each page once: all copies of a page are picked together, and may be a third of all rows.
+    picked = picked.groupBy(F.xxhash64("html").alias("key")).agg(F.min("html").alias("html")).select("html")
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -287,6 +287,20 @@ def test_main_text(spark):
     assert html.extracted(pages.limit(0), html.fit(pages.limit(0))).count() == 0
 
 
+def test_copies_of_a_page_enter_the_sample_once(spark, monkeypatch):
+    sizes = []
+
+    def counted(df, purpose):
+        sizes.append(df.count())
+        return df.limit(0)
+
+    monkeypatch.setattr(html, "write_table", counted)
+    rows = [(k, "u", PAGE.replace("First", f"First {k}")) for k in range(5)]
+    for more in ([], [(9, "u", rows[0][2])] * 20):
+        html.fit(spark.createDataFrame(rows + more, "page_id long, url string, html string"))
+    assert sizes[0] == sizes[1] > 0
+
+
 def test_decoding_never_contradicts():
     page = html.Page("<div><div><p>a</p><p>b</p></div><p>c</p></div>")
     rng = np.random.default_rng(1)
