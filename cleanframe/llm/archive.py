@@ -116,7 +116,8 @@ def write_archives(pages: DataFrame, id_column: str = "page_id", html_column: st
         if waiting:
             yield flush()
 
-    kinds = record_kinds(pages, id_column, html_column)
+    # Ids travel as text: pandas has nullable longs as doubles, which are not exact above 2^53.
+    kinds = record_kinds(pages, id_column, html_column).withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
     return write_table(kinds.mapInPandas(write, "path string, records long"), "manifest")
 
 
@@ -217,8 +218,10 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                             body if kind == "response" else None, int(http["Content-Length"]),
                             fields["WARC-Payload-Digest"].removeprefix("sha256:"),
                         ))
-                out = pd.DataFrame(rows, columns=["page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest"])
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+                names = ["page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest"]
+                # As objects, then: the ids must not pass through doubles.
+                out = pd.DataFrame(rows, columns=names, dtype=object)
+                yield out.assign(**{c: pd.array(out[c].tolist(), dtype="Int64") for c in ("page_id", "refers_to", "payload_bytes")})
 
     paths = manifest.select("path").repartition("path")
     found = paths.mapInPandas(locate, "path string, at long, n long, part int").repartition("path", "part")

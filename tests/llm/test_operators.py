@@ -412,6 +412,15 @@ def test_archives_round_trip(spark):
     assert archive.read_archives(archive.write_archives(df.limit(0))).count() == 0
 
 
+def test_large_ids_stay_exact(spark):
+    big = 2 ** 62 + 1
+    page = "<p>" + "x" * 200
+    rows = [(big, page), (big + 2, page), (None, "short"), (big + 4, "other"), (-big, None), (None, page)]
+    df = spark.createDataFrame([(i, "u", t) for i, t in rows], "page_id long, url string, html string").coalesce(1)
+    out = archive.verified(archive.read_archives(archive.write_archives(df))).collect()
+    assert Counter((r.page_id, r.refers_to) for r in out) == Counter((i, big if t == page and i != big else None) for i, t in rows)
+
+
 class Bytes:
     def __init__(self, raw):
         self.raw = raw
