@@ -140,7 +140,9 @@ def _seek(ends_a: np.ndarray, ends_b: np.ndarray, start: np.ndarray, limit: np.n
         if forward:
             other = ends_b[np.searchsorted(ends_b, end, side="left")]
         else:
-            other = ends_b[np.searchsorted(ends_b, end, side="right") - 1]
+            before = np.searchsorted(ends_b, end, side="right") - 1
+            live, end, at, before = live[before >= 0], end[before >= 0], at[before >= 0], before[before >= 0]
+            other = ends_b[before]
         same = other == end
         found[live[same]] = at[same]
         live, other = live[~same], other[~same]

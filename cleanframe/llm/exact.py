@@ -1,9 +1,10 @@
 """Exact deduplication by deterministic block naming.
 
-The normalised text is cut into blocks of a fixed number of characters. Equal blocks get
-equal integer names, different blocks different ones, by sorting the blocks themselves; then
-adjacent names are paired and the pairs named the same way, until every text has a single
-name. No digest decides equality: names come from comparing blocks and pairs.
+One pass over the texts normalises each, numbers the rows and writes the text as blocks of a fixed
+number of bytes. Equal blocks get equal integer names, different blocks different ones, by sorting
+the blocks themselves; then adjacent names are paired and the pairs named the same way, until
+every text has a single name. No digest decides equality: names come from comparing blocks and
+pairs, and rows are told apart by their numbers.
 
 Everything is DataFrame expressions. Naming is one shuffle: a value goes to a fixed bucket, is
 sorted there, and bucket number and rank make its name. The thousand most frequent values are
@@ -11,9 +12,9 @@ named first and joined by broadcast; any other has less than a thousandth of the
 bucket receives a hot value.
 
 Defined results: a null text counts as empty, and empty texts are equal. A null id never stays
-where the group has another id. Rows repeated with id and text are one row for the naming; the
-report lists and counts each of them, ``keep_first`` leaves one. Columns other than id and text pass
-through untouched; an empty table gives an empty result.
+where the group has another id. Repeated rows are rows of their own: the report lists and counts each of
+them, ``keep_first`` leaves one. Other columns pass through untouched, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,125 +25,119 @@ from pyspark.sql import functions as F
 from cleanframe.schema import quoted
 from cleanframe.session import drop_table, write_table
 
-BLOCK_CHARS = 2048
+from .columns import free_name
+
+BLOCK_BYTES = 8192
 BUCKETS = 1 << 20
 HOT_VALUES = 1000
 LEAST_HOT = 2000
 
 
 def normalised(text: Column) -> Column:
-    """Every run of white space as one space; null as the empty text."""
-    return F.coalesce(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "), F.lit(""))
+    """Every run of white space as one space; null as the empty text. Single spaces are not touched."""
+    return F.coalesce(F.regexp_replace(text, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "), F.lit(""))
 
 
-def blocks_of(text: str, block: int) -> Column:
-    column = F.col(text)
-    pieces = F.regexp_extract_all(column, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
-    return F.when(F.length(column) == 0, F.array(F.lit(""))).otherwise(pieces)
+def blocks_of(content: str, block: int) -> Column:
+    """Slices of a binary column; an empty one has a single empty slice."""
+    last = F.floor((F.greatest(F.octet_length(content), F.lit(1)) - 1) / block).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(F.col(content), k * block + 1, F.lit(block)))
 
 
 def named(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` with an integer ``name`` in place of the columns ``keys``.
+    """``rows`` with an integer ``name`` in place of ``keys`` and of ``digest``, their 64-bit hash.
 
-    Rows with equal keys, nulls included, and only those get the same name. ``rows`` is read
-    two or three times.
+    Rows with equal keys, nulls included, and only those get the same name. ``rows`` is read two or
+    three times, the first time without the keys.
     """
-    rest = [c for c in rows.columns if c not in keys]
-    rows = rows.withColumn("_digest", F.xxhash64(*keys))
-    counts = rows.groupBy("_digest").agg(F.count("*").alias("n")).where(F.col("n") > LEAST_HOT)
-    hot = [r[0] for r in counts.orderBy(F.desc("n"), "_digest").limit(HOT_VALUES).collect()]
-    cold = rows.where(~F.col("_digest").isin(hot)) if hot else rows
-    rank = F.dense_rank().over(Window.partitionBy("_bucket").orderBy(*keys))
-    cold = cold.withColumn("_bucket", F.pmod("_digest", F.lit(BUCKETS)))
-    out = cold.select(*rest, (F.shiftleft("_bucket", 42) + rank).alias("name"))
+    rest = [c for c in rows.columns if c not in (*keys, "digest")]
+    counts = rows.groupBy("digest").agg(F.count("*").alias("times")).where(F.col("times") > LEAST_HOT)
+    hot = [r[0] for r in counts.orderBy(F.desc("times"), "digest").limit(HOT_VALUES).collect()]
+    cold = rows.where(~F.col("digest").isin(hot)) if hot else rows
+    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy(*keys))
+    cold = cold.withColumn("bucket", F.pmod("digest", F.lit(BUCKETS)))
+    out = cold.select(*rest, (F.shiftleft("bucket", 42) + rank).alias("name"))
     if hot:
-        warm = rows.where(F.col("_digest").isin(hot))
+        warm = rows.where(F.col("digest").isin(hot))
         # Few values however large the table is: one, in practice, for each hot digest.
         values = sorted(warm.select(*keys).distinct().collect(), key=lambda r: tuple((v is None, v) for v in r))
         labelled = [(*r, -1 - i) for i, r in enumerate(values)]
-        schema = ", ".join([f"_hot_{k} {rows.schema[k].dataType.simpleString()}" for k in keys] + ["name long"])
+        schema = ", ".join([f"hot_{k} {rows.schema[k].dataType.simpleString()}" for k in keys] + ["name long"])
         names = F.broadcast(rows.sparkSession.createDataFrame(labelled, schema))
         same = F.lit(True)
         for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
+            same = same & F.col(k).eqNullSafe(F.col(f"hot_{k}"))
         out = out.unionByName(warm.join(names, same).select(*rest, "name"))
     return out
 
 
-def identities(df: DataFrame, id_column: str, text_column: str, block: int = BLOCK_CHARS) -> DataFrame:
-    """One row per distinct (id, text): ``id``, ``digest``, ``copies``, ``level``, ``name``.
+def identities(numbered: DataFrame, row: str, id_column: str, text_column: str, block: int = BLOCK_BYTES) -> DataFrame:
+    """One row per row: its number ``row``, ``id``, ``text_sha256``, ``level``, ``name``.
 
     ``(level, name)`` is equal for two rows exactly when their normalised texts are equal.
-    ``digest`` tells rows of a repeated id apart; ``copies`` counts repeated rows.
     """
-    base = df.select(quoted(id_column).cast("long").alias("id"), normalised(quoted(text_column)).alias("text"))
-    cut = base.select("id", F.xxhash64("text").alias("digest"), blocks_of("text", block).alias("blocks"))
-    rows = cut.select("id", "digest", F.size("blocks").alias("n"), F.lit(1).cast("long").alias("copies"), F.posexplode("blocks").alias("pos", "content"))
-    level, finished, used = 0, [], []
-    keys = ["content"]
+    base = numbered.select(quoted(row).alias("row"), quoted(id_column).cast("long").alias("id"), normalised(quoted(text_column)).cast("binary").alias("content"))
+    cut = base.select("row", "id", F.sha2("content", 256).alias("text_sha256"), blocks_of("content", block).alias("blocks"))
+    rows = cut.select("row", "id", "text_sha256", F.size("blocks").alias("n"), F.posexplode("blocks").alias("pos", "content"))
+    # Id and digest stand beside the first block only.
+    first = {c: F.when(F.col("pos") == 0, F.col(c)) for c in ("id", "text_sha256")}
+    rows = write_table(rows.withColumns({**first, "digest": F.xxhash64("content")}), "blocks")
+    texts, used, finished = rows, [], []
+    level, keys, parts = 0, ["content"], rows.drop("id", "text_sha256")
     while True:
-        current = write_table(named(rows, keys), "names")
+        current = write_table(named(parts, keys), "names")
         used.append(current)
-        finished.append(
-            current.where("n = 1").groupBy("id", "digest")
-            .agg(F.sum("copies").alias("copies"), F.max("name").alias("name"))
-            .withColumn("level", F.lit(level))
-        )
+        finished.append(current.where("n = 1").select("row", "name", F.lit(level).alias("level")))
         if current.where("n > 1").isEmpty():
             break
-        pairs = current.where("n > 1").groupBy("id", "digest", F.shiftright("pos", 1).alias("pos")).agg(
+        pairs = current.where("n > 1").groupBy("row", F.shiftright("pos", 1).alias("pos")).agg(
             F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("left"),
             F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))).alias("right"),
             F.shiftright(F.max("n") + 1, 1).alias("n"),
-            # Repeated rows meet in their first pair; from there on their number is carried.
-            F.sum(F.when(F.col("pos") % 2 == 0, F.col("copies"))).alias("copies"),
         )
-        rows = write_table(pairs, "pairs")
-        used.append(rows)
         level, keys = level + 1, ["left", "right"]
+        parts = write_table(pairs.withColumn("digest", F.xxhash64(*keys)), "pairs")
+        used.append(parts)
     out = finished[0]
     for part in finished[1:]:
         out = out.unionByName(part)
-    result = write_table(out, "identities")
-    for part in used:
+    result = write_table(out.join(texts.where("pos = 0").select("row", "id", "text_sha256"), "row"), "identities")
+    for part in (texts, *used):
         drop_table(part)
     return result
 
 
 def groups(ids: DataFrame) -> DataFrame:
-    """``ids`` with ``keep_id`` (smallest id of the equal texts) and ``group_size`` (their rows)."""
-    found = ids.groupBy("level", "name").agg(F.min("id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    """``ids`` with ``keep_id`` (smallest id of the equal texts), ``keep_row`` (its first row) and ``group_size``."""
+    smallest = F.min(F.struct(F.col("id").isNull().alias("absent"), "id", "row"))
+    found = ids.groupBy("level", "name").agg(smallest.alias("keep"), F.count("*").alias("group_size")).where("group_size > 1")
     # Written so that the join shuffles both sides, and Spark can split the part of a hot group.
-    several = write_table(found.where("group_size > 1"), "groups")
+    several = write_table(found.select("level", "name", F.col("keep.id").alias("keep_id"), F.col("keep.row").alias("keep_row"), "group_size"), "groups")
     joined = ids.join(several, ["level", "name"], "left")
+    alone = F.col("group_size").isNull()
     return joined.withColumns({
-        "keep_id": F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")),
+        "keep_id": F.when(alone, F.col("id")).otherwise(F.col("keep_id")),
+        "keep_row": F.when(alone, F.col("row")).otherwise(F.col("keep_row")),
         "group_size": F.coalesce("group_size", F.lit(1).cast("long")),
     })
 
 
 def exact_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``."""
-    found = write_table(groups(identities(df, id_column, text_column)), "copies")
-    base = df.select(quoted(id_column).alias("_id"), normalised(quoted(text_column)).alias("text"))
-    base = base.select("_id", F.xxhash64("text").alias("_digest"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
-    same = F.col("_id").cast("long").eqNullSafe(F.col("id")) & (F.col("_digest") == F.col("digest"))
-    return base.join(found, same).select(
-        F.col("_id").alias(id_column), "keep_id", "group_size",
-        F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256",
+    """One row per row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+
+    ``kept`` marks all rows with the smallest id of their group.
+    """
+    row = free_name(df, "row")
+    numbered = df.select(quoted(id_column), quoted(text_column)).withColumn(row, F.monotonically_increasing_id())
+    return groups(identities(numbered, row, id_column, text_column)).select(
+        F.col("id").alias(id_column), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256",
     )
 
 
 def keep_first(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``df`` with one row of each group of equal texts, the one with the smallest id."""
-    found = groups(identities(df, id_column, text_column))
-    stay = write_table(found.where(F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("_stay_id"), F.col("digest").alias("_stay_digest"), F.col("copies").alias("_stay_copies")), "kept")
-    tagged = df.withColumns({
-        "_kept_id": quoted(id_column).cast("long"),
-        "_kept_digest": F.xxhash64(normalised(quoted(text_column))),
-    })
-    same = F.col("_kept_id").eqNullSafe(F.col("_stay_id")) & (F.col("_kept_digest") == F.col("_stay_digest"))
-    marks = ("_kept_id", "_kept_digest")
-    once = tagged.join(stay.where("_stay_copies = 1"), same, "left_semi")
-    again = tagged.join(stay.where("_stay_copies > 1"), same, "left_semi")
-    return once.drop(*marks).unionByName(again.dropDuplicates(list(marks)).drop(*marks))
+    """``df`` with one row of each group of equal texts, the first with the smallest id."""
+    row = free_name(df, "row")
+    numbered = write_table(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = groups(identities(numbered, row, id_column, text_column))
+    stay = write_table(found.where("row = keep_row").select(F.col("row").alias(row)), "kept")
+    return numbered.join(stay, row, "left_semi").select(*(quoted(c) for c in df.columns))

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import random
 import re
 import zipfile
 import zlib
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from cleanframe.llm import archive, decontaminate, exact, html, nearcopies, packing, quality, sharding, suffixes, toxicity
 from cleanframe.llm.queries import all_oracles, all_queries, tokenizer_path
 from cleanframe.llm.words import text_sets
+from cleanframe.session import write_table
 from tests.compare import connect, differences
 
 SMALL = "/root/testdata/sf0.001"
@@ -87,9 +89,9 @@ def test_exact_copies_on_awkward_rows(rows):
         return re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
 
     got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact.exact_copies(rows).collect())
-    groups = defaultdict(set)
+    groups = defaultdict(list)
     for i, t in ROWS:
-        groups[norm(t)].add(i)
+        groups[norm(t)].append(i)
     expected = Counter()
     for i, t in ROWS:
         same = groups[norm(t)]
@@ -108,13 +110,22 @@ def test_repeated_rows_match_the_sql(spark, tmp_path):
 
 
 def test_blocks_of_any_size_name_alike(rows):
-    small = exact.identities(rows, "doc_id", "text", block=7)
-    large = exact.identities(rows, "doc_id", "text")
-    pairs = small.select("id", "digest", "level", "name").join(large.select("id", "digest", F.col("level").alias("l2"), F.col("name").alias("n2")), ["digest"])
+    numbered = write_table(rows.withColumn("number", F.monotonically_increasing_id()), "numbered")
+    small = exact.identities(numbered, "number", "doc_id", "text", block=7)
+    large = exact.identities(numbered, "number", "doc_id", "text")
+    pairs = small.select("row", "level", "name").join(large.select("row", F.col("level").alias("l2"), F.col("name").alias("n2")), ["row"])
+    assert pairs.count() == len(ROWS)
     assert pairs.groupBy("level", "name").agg(F.countDistinct("l2", "n2").alias("k")).where("k > 1").isEmpty()
     assert pairs.groupBy("l2", "n2").agg(F.countDistinct("level", "name").alias("k")).where("k > 1").isEmpty()
 
 
+def test_white_space_of_all_kinds(spark):
+    chance = random.Random(5)
+    texts = ["".join(chance.choice(" \t\n\x0b\x0c\r\x1fab\u00a0") for _ in range(12)) for _ in range(300)]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", exact.normalised(F.col("text")).alias("n")).collect()
+    assert all(r.n == re.sub(r"[\x20\x09-\x0D]+", " ", r.text) for r in got)
+
+
 def test_keep_first_leaves_one_row_of_each_group(rows, nothing):
     kept = exact.keep_first(rows)
     assert kept.columns == rows.columns
