@@ -18,8 +18,10 @@ pairs. Null ids stay. An empty table gives an empty result; other columns are le
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,17 +53,23 @@ class TokenBytes:
         return self.flat[spread(self.starts[ids], self.sizes[ids])]
 
 
+# Characters with the Unicode property White_Space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 class Tokenizers:
     """Both tokenizers; each distinct segment of a text is encoded once in a task.
 
-    A's segments are the pre-tokens of its own pattern. B's are runs of spaces with what follows
-    up to the next space: no piece of B has a space behind another character, so no merge
-    crosses their borders.
+    A segment is white space with what follows up to the next white space; white space that a piece of B
+    has behind another character, as a carriage return, does not end it. A's pre-tokens have
+    white space only at their beginning, so no merge of either crosses the borders of segments.
     """
 
-    def __init__(self, path_a: str, path_b: str, pattern_a: str):
+    def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -69,18 +77,23 @@ class Tokenizers:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         with open(path_a, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
+            model = json.load(file)
+        if model["pre_tokenizer"]["type"] != "ByteLevel" or model["normalizer"]:
+            raise ValueError("the first tokenizer must be byte-level without normalisation")
         back = {c: b for b, c in enumerate(byte_characters())}
+        vocabulary = model["model"]["vocab"]
         tokens_a = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             tokens_a[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a piece of the second tokenizer has a space behind another character")
+        glued = "".join(c for c in WHITE_SPACE if any(c in p[1:] for p in pieces))
         tokens_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.bytes_a, self.bytes_b = TokenBytes(tokens_a), TokenBytes(tokens_b)
-        self.split_a, self.split_b = regex.compile(pattern_a).findall, regex.compile("(?s) *[^ ]+| +").findall
-        self.store_a, self.store_b = SegmentStore(self._encode_a), SegmentStore(self._encode_b)
+        space, rest, more = f"[{WHITE_SPACE}]", f"[^{WHITE_SPACE}]", f"[{glued}]" if glued else "(?!)"
+        self.split = re.compile(f"{space}*{rest}+(?:{more}{space}*{rest}+)*(?:{more}{space}*)?|{space}+").findall
+        self.store = SegmentStore(self._encode_a, self._encode_b, judge=self._given_back)
         self.lead = self.b.encode("a")
 
     def _encode_a(self, segments: list[str]) -> list[list[int]]:
@@ -90,33 +103,47 @@ class Tokenizers:
         """Ids behind a letter, so that a segment of spaces alone is kept and none is added."""
         return [ids[len(self.lead):] for ids in self.b.encode(["a" + s for s in segments], num_threads=1)]
 
-    def both(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For A and B: ids of all texts, token borders of the texts, and which texts are given back."""
-        spaced = [" " + t if t else "" for t in texts]
-        raw = [t.encode() for t in spaced]
+    def _given_back(self, segments: list[str], found: list[list[list[int]]]) -> np.ndarray:
+        """Whether the tokens of both sides give back the bytes of each segment."""
+        raw = [s.encode() for s in segments]
+        good = np.ones(len(raw), dtype=bool)
+        text = np.frombuffer(b"".join(raw), dtype=np.uint8)
         sizes = np.array([len(r) for r in raw], dtype=np.int64)
-        out = []
-        for split, store, table in ((self.split_a, self.store_a, self.bytes_a), (self.split_b, self.store_b, self.bytes_b)):
-            parts = [split(t) for t in spaced]
-            ids, counts = store.ids_at(store.places([s for found in parts for s in found]))
-            borders = sums_from_zero(counts)[sums_from_zero(np.array([len(p) for p in parts], dtype=np.int64))]
-            ends = sums_from_zero(table.sizes[ids])
-            same = ends[borders[1:]] - ends[borders[:-1]] == sizes
+        for lists, table in zip(found, (self.bytes_a, self.bytes_b)):
+            counts = np.array([len(x) for x in lists], dtype=np.int64)
+            ids = np.fromiter(itertools.chain.from_iterable(lists), dtype=np.int64, count=int(counts.sum()))
+            ends = sums_from_zero(table.sizes[ids])[sums_from_zero(counts)]
+            same = np.diff(ends) == sizes
+            good &= same
             if same.all():
-                differs = np.flatnonzero(table.joined(ids) != np.frombuffer(b"".join(raw), dtype=np.uint8))
-                same[np.searchsorted(np.cumsum(sizes), differs, side="right")] = False
-            else:  # rare; text by text
+                differs = np.flatnonzero(table.joined(ids) != text)
+                good[np.searchsorted(np.cumsum(sizes), differs, side="right")] = False
+            else:  # lengths differ somewhere; segment by segment
+                borders = sums_from_zero(counts)
                 for k in np.flatnonzero(same).tolist():
-                    same[k] = table.joined(ids[borders[k]:borders[k + 1]]).tobytes() == raw[k]
-            out.append((ids, borders, same))
-        return out
+                    good[k] &= table.joined(ids[borders[k]:borders[k + 1]]).tobytes() == raw[k]
+        return good
 
-    def forget(self) -> None:
-        self.store_a.forget()
-        self.store_b.forget()
+    def both(self, texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """For A and B: ids of all texts and their borders by text; and which texts are given back by both."""
+        spaced = [" " + t if t else "" for t in texts]
+        parts = [self.split(t) for t in spaced]
+        rows = sums_from_zero(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))
+        places = self.store.places(list(itertools.chain.from_iterable(parts)))
+        sides = []
+        for side in range(2):
+            ids, counts = self.store.ids_at(places, side)
+            sides.append((ids, sums_from_zero(counts)[rows]))
+        bad = np.diff(sums_from_zero(~self.store.marks[places])[rows])
+        good = bad == 0
+        for k in np.flatnonzero(bad).tolist():  # differing segments could still join to the same bytes
+            good[k] = all(
+                table.joined(ids[borders[k]:borders[k + 1]]).tobytes() == spaced[k].encode()
+                for (ids, borders), table in zip(sides, (self.bytes_a, self.bytes_b)))
+        return sides, good
 
 
-_tokenizers: dict[tuple[str, str, str], Tokenizers] = {}
+_tokenizers: dict[tuple[str, str], Tokenizers] = {}
 
 
 def tokenizers_of(*paths: str) -> Tokenizers:
@@ -248,10 +275,9 @@ class Aligner:
         self.writer = GroupWriter(max(len(self.tokenizers.bytes_a.sizes), self.size_b))
 
     def align(self, texts: list[str]) -> Aligned:
+        found, good = self.tokenizers.both(texts)
         sides = []
-        (ids_a, borders_a, same_a), (ids_b, borders_b, same_b) = self.tokenizers.both(texts)
-        good = same_a & same_b
-        for ids, borders, table in ((ids_a, borders_a, self.tokenizers.bytes_a), (ids_b, borders_b, self.tokenizers.bytes_b)):
+        for (ids, borders), table in zip(found, (self.tokenizers.bytes_a, self.tokenizers.bytes_b)):
             counts = np.where(good, np.diff(borders), 0)
             kept = ids[spread(borders[:-1][good], np.diff(borders)[good])]
             sides.append((kept, sums_from_zero(counts), np.cumsum(table.sizes[kept])))
@@ -287,16 +313,16 @@ ALIGNMENT_SCHEMA = (
 )
 
 
-def alignments(df: DataFrame, path_a: str, path_b: str, pattern_a: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def alignments(df: DataFrame, path_a: str, path_b: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row: numbers of tokens, groups and links, the groups as text, and the linked id pairs."""
     ship_package(df.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = aligner(path_a, path_b, pattern_a)
+        found = aligner(path_a, path_b)
         for batch in batches:
             for row, texts in text_runs(batch.column(1)):
                 yield _batch(batch.column(0).slice(row, len(texts)), found.align(texts), found.size_b)
-        found.tokenizers.forget()
+        found.tokenizers.store.forget()
 
     chosen = df.select(quoted(id_column).cast("long").alias("doc_id"), quoted(text_column).cast("string").alias("text"))
     return chosen.mapInArrow(work, ALIGNMENT_SCHEMA)

@@ -120,7 +120,7 @@ class BytePairs:
         rest = [k for k, ids in enumerate(out) if ids is None]
         mapped = [raw[k].decode("latin-1").translate(self.characters) for k in rest]
         for k, ids in zip(rest, self.model.encode(mapped, num_threads=1)):
-            out[k] = self.rank_of_piece[ids]
+            out[k] = self.rank_of_piece[ids].tolist()
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -130,7 +130,7 @@ def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_alignment")
 def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
     found = alignment.alignments(
-        table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), split_pattern())
+        table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
     found = found.withColumn("groups_sha256", digest).drop("groups").withColumn("row", F.monotonically_increasing_id())
     found = write_table(found, "aligned")

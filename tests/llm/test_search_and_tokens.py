@@ -19,6 +19,8 @@ SMALL = "/root/testdata/sf0.001"
 ODD = [
     None, "", " ", "  ", "a ", "\n\n  x", "<|endoftext|> <s> </s> <0x41>", "日本語 🎉👨‍👩‍👧 ñ́", "a" * 3000, "\x00\x01\xa0", "漢" * 1000,
     "🎉" * 300, " " * 300, "▁▁ x", "x▁ y", "  lead", "trail  ", "One, two; ONE_two 3.14 Ünder", "one two", "one two", "It's we'll  they've",
+    "x;\r\n y();\r\r z\r", "\r", "a\r\n", "{\r {\r\n",
+    *(f"ab{c}cd! {c}{c}x{c} {c}12 .{c}" for c in alignment.WHITE_SPACE + "\x1c\x1f\u180e\u200b\u2060\ufeff"),
 ]
 SCHEMA = "doc_id long, text string, ids string, item int, rank int, m int, row int, groups int, pairs int, n int, terms int"
 
@@ -99,7 +101,7 @@ def test_byte_pair_query(spark, documents):
 # --- Alignment ---------------------------------------------------------------------------
 
 def paths():
-    return tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), split_pattern()
+    return tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
 
 
 def plain_alignment(text):
