@@ -131,7 +131,7 @@ def null_patterns(df: DataFrame, columns: list[str], order_by: list[str]) -> Dat
     and of the other rows, so nothing is sorted or numbered: two scans, no row shuffle.
     The order must be unique.
     """
-    key = F.col(order_by[0]) if len(order_by) == 1 else F.struct(*[quoted(o) for o in order_by])
+    key = quoted(order_by[0]) if len(order_by) == 1 else F.struct(*[quoted(o) for o in order_by])
     keyed = df.select(key.alias("key"), *[quoted(n).isNull().alias(f"m{i}") for i, n in enumerate(columns)])
     ends = [F.count(F.lit(1)).alias("rows")]
     for i in range(len(columns)):

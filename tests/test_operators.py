@@ -220,6 +220,7 @@ def test_nan_is_missing(spark):
 def test_null_pattern(spark, cells, pattern):
     df = frame(spark, cells, "int")
     assert profile.null_patterns(df, ["v"], ["i"]).first()["pattern"] == pattern
+    assert profile.null_patterns(df.withColumnRenamed("i", "a.i"), ["v"], ["a.i"]).first()["pattern"] == pattern
     two = df.withColumn("half", F.expr("i div 2"))
     assert profile.null_patterns(two, ["v"], ["half", "i"]).first()["pattern"] == pattern
 

@@ -114,3 +114,58 @@ def test_separator_is_judged_by_all_lines(spark, tmp_path):
 def test_json_objects_over_several_lines(spark, tmp_path):
     (tmp_path / "one.json").write_text(json.dumps({"a": 1, "b": {"c": "x"}}, indent=2))
     assert [tuple(r) for r in read_json(spark, str(tmp_path / "one.json")).collect()] == [(1, "x")]
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def test_one_broken_line_loses_no_other(spark, tmp_path):
+    (tmp_path / "f.json").write_text('{"a": 1}\n{"a": 2\n{"a": 3}\n')
+    df = read_json(spark, str(tmp_path / "f.json"))
+    assert df.columns == ["a", "bad_record"] and rows_of(df) == [(1, None), (3, None), (None, '{"a": 2')]
+    assert rows_of(read_json(spark, str(tmp_path / "f.json"), bad="drop")) == [(1,), (3,)]
+    with pytest.raises(ValueError, match='"a": 2'):
+        read_json(spark, str(tmp_path / "f.json"), bad="error")
+    assert rows_of(read_json(spark, str(tmp_path / "f.json"), schema="a long", row_id="n")) == [(0, 1, None), (1, None, '{"a": 2'), (2, 3, None)]
+
+
+def test_several_objects_over_several_lines(spark, tmp_path):
+    records = [{"a": i, "b": {"t": '} { "x" \\ [' + str(i)}, "l": [{"k": i}, {"k": -i}]} for i in range(40)]
+    text = "\n".join(json.dumps(r, indent=2) for r in records[:20]) + " " + "".join(json.dumps(r, indent=1) for r in records[20:])
+    (tmp_path / "f.json").write_text("\ufeff" + text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")  # records go over the borders of splits
+    try:
+        got = read_json(spark, str(tmp_path / "f.json"), row_id="n").orderBy("n").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r["n"], r["a"], r["b.t"], [x["k"] for x in r["l"]]) for r in got] == [(i, i, r["b"]["t"], [i, -i]) for i, r in enumerate(records)]
+
+
+def test_each_json_file_has_its_own_layout(spark, tmp_path):
+    folder = tmp_path / "several files"
+    folder.mkdir()
+    (folder / "a.json").write_text('{"a": 1}\n{"a": 2}\n{"a":\n')
+    (folder / "b.json").write_text(json.dumps([{"a": 3}, {"a": 4}], indent=1))
+    (folder / "c.json").write_text('[{"a": 5},{"a": 6}]')
+    (folder / "d.json").write_text(json.dumps({"a": 7}, indent=1) + "\n" + json.dumps({"a": 8}, indent=1) + '\n{"a": 9,\n "b": ')
+    (folder / "e.json").write_text('[{"a": 10}, {"a"')
+    (folder / "f.json").write_text('{"a": 9}\n{"a": 10}\n[{"a": 11}, {"a": 12}]\n')
+    got = read_json(spark, str(folder))
+    assert sorted(r["a"] for r in got.where("bad_record is null").collect()) == list(range(1, 13))
+    assert {r["bad_record"].split(":")[0] for r in got.where("bad_record is not null").collect()} == {'{"a"', '[{"a"'}
+    assert got.where("bad_record is not null").count() == 3
+
+
+def test_quoted_line_breaks_and_encodings_by_file(spark, tmp_path):
+    folder = tmp_path / "csv files"
+    folder.mkdir()
+    (folder / "a.csv").write_text('k,t\n1,"x\ny"\n2,"he said ""so"""\n', encoding="utf-8")
+    (folder / "b.csv").write_text("k,t\n3,são\n", encoding="utf-8")
+    (folder / "c.csv").write_text("k,t\n4,não\n", encoding="latin-1")
+    (folder / "d.csv").write_text('k,t\n5,"á\n\nb"\n', encoding="latin-1")
+    expected = [("1", "x\ny"), ("2", 'he said "so"'), ("3", "são"), ("4", "não"), ("5", "á\n\nb")]
+    assert rows_of(read_csv(spark, str(folder), ",")) == expected
+    numbered = read_csv(spark, str(folder), ",", row_id="n").orderBy("n").collect()
+    assert [tuple(r) for r in numbered] == [(i, *row) for i, row in enumerate(expected)]
+    assert rows_of(read_csv(spark, str(folder / "a.csv"), ",")) == expected[:2]

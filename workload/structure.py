@@ -60,6 +60,37 @@ def _(t):
     return readers.read_file(t.spark, path, file_format="json")
 
 
+@query("json_several_lines", """
+    select o_orderkey as "id", o_custkey as "buyer.key", o_orderpriority || chr(34) || ' } {' as note,
+      cast(null as varchar) as bad_record from orders
+    union all select null, null, null, '{"id": 1, "bu' from region""")
+def _(t):
+    """Records of five lines each, lines of one record and broken lines, each kind in its own files."""
+    path = scratch_path(t.spark, "json")
+    record = F.to_json(F.struct(
+        c("o_orderkey").alias("id"), F.struct(c("o_custkey").alias("key")).alias("buyer"),
+        F.concat("o_orderpriority", F.lit('" } {')).alias("note")))
+    several = F.regexp_replace(F.regexp_replace(record, r"^\{", "{\n "), r'\}$', "\n}")
+    t.orders.where("o_orderkey % 2 = 0").select(F.regexp_replace(several, r',"(buyer|note)"', ',\n "$1"')).write.text(path)
+    broken = t.region.select(F.lit('{"id": 1, "bu'))
+    t.orders.where("o_orderkey % 2 = 1").select(record).union(broken).coalesce(1).write.mode("append").text(path)
+    return readers.read_json(t.spark, path)
+
+
+@query("csv_quoted_breaks", """
+    select cast(c_custkey as varchar) as c_custkey, case when c_custkey % 2 = 0 then c_name || chr(10) || '"não";' else c_name || ' é' end as note
+    from customer""")
+def _(t):
+    """Quoted line breaks in some files, Latin-1 in others."""
+    path = scratch_path(t.spark, "csv")
+    breaks = F.when(c("c_custkey") % 2 == 0, F.concat("c_name", F.lit('\n"não";'))).otherwise(F.concat("c_name", F.lit(" é")))
+    rows = t.customer.select("c_custkey", breaks.alias("note"))
+    for rest, encoding in ((0, "UTF-8"), (1, "ISO-8859-1")):
+        rows.where(c("c_custkey") % 2 == rest).write.mode("append").option("header", True).option("sep", ";") \
+            .option("escape", '"').option("encoding", encoding).csv(path)
+    return readers.read_csv(t.spark, path, ";")
+
+
 @query("parquet_scan", """
     select l_orderkey, l_linenumber, l_partkey, l_extendedprice from lineitem
     where l_shipdate >= timestamp '1995-01-01' and l_quantity > 30""")
