@@ -27,10 +27,14 @@ _NORMAL = rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}{_TIME}$"
 _ZONED = r"^(.*:\d{2}(?:\.\d{1,9})?(?: ?[AaPp][Mm])?) ?(Z|UTC|GMT|[+-]\d{2}:?\d{2})$"
 _HALF = r"^([^:]*[^\d:](\d{1,2}):\d{2}(?::\d{2}(?:\.\d{1,9})?)?) ?([AaPp])[Mm]$"
 _MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+_MONTH_WORD = r"(?i)\b(" + "|".join(f"{name}|{name[:3]}" for name in _MONTHS) + r")\b\.?"
 _DAY_MONTH = r"^(\d{1,2})[ \-/]m(\d{2}),?[ \-/](\d{4})"
 _MONTH_DAY = r"^m(\d{2}) (\d{1,2}),? (\d{4})"
 _COMPACT = r"^(\d{4})(\d{2})(\d{2})(?=$|[ T])"
 
+# What a spelled date can be made of; any other text is not looked at further.
+_SPELLED = r"^(?=.*\d)[\dA-Za-z ,./:+\-]{6,60}$"
+
 # Fixed pattern: what a value must contain before a column is tested for dates.
 DATE_LIKE = r"\d{1,4}[/\-.]\d{1,2}[/\-.]\d{1,4}"
 
@@ -49,7 +53,7 @@ def parse_date(c: Column, day_first: bool = True) -> Column:
     A time with a zone is moved to UTC.
     """
     s = strip(c)
-    return F.coalesce(_numeric_date(s, day_first), _spelled_date(s, day_first))
+    return F.coalesce(_numeric_date(s, day_first), F.when(s.rlike(_SPELLED), _spelled_date(s, day_first)))
 
 
 def _spelled_date(s: Column, day_first: bool) -> Column:
@@ -62,8 +66,9 @@ def _spelled_date(s: Column, day_first: bool) -> Column:
     hour = F.regexp_extract(s, _HALF, 2).try_cast("int")
     shift = F.when(half == "", 0).when(hour.between(1, 12), F.when(half == "a", F.when(hour == 12, -12).otherwise(0)).when(hour == 12, 0).otherwise(12))
     s = F.regexp_replace(s, _HALF, "$1")
-    for i, name in enumerate(_MONTHS, 1):
-        s = F.regexp_replace(s, rf"(?i)\b{name[:3]}(?:{name[3:]})?\b\.?", f"m{i:02d}")
+    number = F.create_map(*[F.lit(v) for i, name in enumerate(_MONTHS, 1) for v in (name[:3], f"m{i:02d}")])
+    month = F.element_at(number, F.lower(F.substring(F.regexp_extract(s, _MONTH_WORD, 1), 1, 3)))
+    s = F.when(month.isNull(), s).otherwise(F.regexp_replace(s, F.lit(_MONTH_WORD), month))
     s = F.regexp_replace(F.regexp_replace(s, _DAY_MONTH, "$3-$2-$1"), _MONTH_DAY, "$3-$1-$2")
     s = F.regexp_replace(s, _COMPACT, "$1-$2-$3")
     return _numeric_date(s, day_first) + F.make_dt_interval(hours=shift, mins=-minutes)

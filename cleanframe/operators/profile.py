@@ -13,7 +13,7 @@ from ..functions.vocabulary import DATE, KINDS, NUMERIC
 from ..schema import is_numeric, numeric_columns, quoted
 from ..session import aggregate_row, small_frame
 from . import frequency as freq
-from .quantiles import VALUE_BUDGET, exact_quantiles
+from .quantiles import exact_quantiles
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -206,7 +206,6 @@ class NumericStats:
 
 def numeric_stats(
     df: DataFrame, columns: list[str], quantiles: list[float] | dict[str, list[float]] | None = None,
-    budget: int = VALUE_BUDGET,
 ) -> dict[str, NumericStats]:
     """Statistics of all columns: one aggregate for the moments, then the quantiles."""
     if not columns:
@@ -226,13 +225,13 @@ def numeric_stats(
         )
         for i, name in enumerate(columns)
     }
-    add_quantiles(df, stats, QUARTILES if quantiles is None else quantiles, budget)
+    add_quantiles(df, stats, QUARTILES if quantiles is None else quantiles)
     return stats
 
 
-def add_quantiles(df: DataFrame, stats: dict[str, NumericStats], quantiles, budget: int = VALUE_BUDGET) -> None:
+def add_quantiles(df: DataFrame, stats: dict[str, NumericStats], quantiles) -> None:
     wanted = quantiles if isinstance(quantiles, dict) else {n: quantiles for n in stats}
-    found = exact_quantiles(df, wanted, {n: s.n for n, s in stats.items()}, budget)
+    found = exact_quantiles(df, wanted, {n: s.n for n, s in stats.items()})
     names = {0.25: "q1", 0.5: "median", 0.75: "q3"}
     for n, values in found.items():
         for p, v in zip(wanted[n], values):

@@ -1,17 +1,17 @@
 """Exact quantiles of many columns at any size.
 
-``percentile`` keeps every distinct value of a column in one buffer, which no executor can
-hold for a large table. Where the counted values fit a budget, a sketch that drops nothing
-gives the exact ranks. Beyond it the wanted ranks are bracketed with a bounded sketch, the
-values around the bracket are counted exactly, and the bracket shrinks pass by pass until
-what is left inside fits the budget. Each pass is one scan with one aggregate and no row
-shuffle; the sketch only steers, the counts decide, so the result is exact whatever the
-sketch error.
+A wanted rank is searched by refinement. One scan counts the values of all columns by bucket: first
+by sixteenths of an octave of their size, then by equal parts of the bucket that holds the
+rank, and, once few values are left in it, by value. A bucket carries its count and its smallest
+and largest value, so the counts alone decide and the result is exact. Each pass is one grouping
+that is combined before its shuffle; no state holds values, and a histogram has a bounded number of
+rows whatever the size of the table. Any column needs at most seven passes, most need two or three.
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,24 +19,22 @@ from pyspark.sql import functions as F
 
 from ..schema import quoted
 
-VALUE_BUDGET = 4_000_000  # values one aggregate may hold over all columns
-_ACCURACY = 10_000
-_SLACK = 1.5 / _ACCURACY  # wider than the sketch error
+OCTAVE_PARTS = 16
+PARTS = 4096
+FEW_VALUES = 4096  # a bucket with no more values is counted by value
+AT_ONCE = 64  # brackets of one scan
 
 
 @dataclass
-class _Target:
-    """One order statistic being searched: rank ``rank`` (from 0) of column ``name``."""
+class _Bracket:
+    """Values of a column from ``low`` to ``high``, among which the wanted ranks (from 0) lie."""
 
     name: str
-    rank: int
-    low: float  # bracket to be counted
-    high: float
-    floor: float  # bounds known to hold the rank
-    ceiling: float
-    offset: int = 0  # values up to and including ``floor``
-    inside: int = 0  # values strictly between ``floor`` and ``ceiling``
-    value: float | None = None
+    ranks: list[int]
+    before: int = 0  # values below the bracket
+    inside: int | None = None
+    low: float | None = None
+    high: float | None = None
 
 
 def _ranks(p: float, n: int) -> tuple[int, int, float]:
@@ -46,19 +44,13 @@ def _ranks(p: float, n: int) -> tuple[int, int, float]:
 
 
 def exact_quantiles(
-    df: DataFrame, wanted: dict[str, list[float]], counts: dict[str, int], budget: int = VALUE_BUDGET
+    df: DataFrame, wanted: dict[str, list[float]], counts: dict[str, int], few: int = FEW_VALUES
 ) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles per column; ``counts`` holds the non-null counts."""
     wanted = {n: list(ps) for n, ps in wanted.items() if ps}
     result: dict[str, list[float | None]] = {n: [None] * len(ps) for n, ps in wanted.items()}
     live = {n: ps for n, ps in wanted.items() if counts.get(n, 0) > 0}
-    small, large, spent = {}, {}, 0
-    for n in sorted(live, key=lambda n: counts[n]):
-        spent += counts[n]
-        (small if spent <= budget else large)[n] = live[n]
-    ranks = {n: sorted({r for p in ps for r in _ranks(p, counts[n])[:2]}) for n, ps in live.items()}
-    found = _ranked_values(df, {n: ranks[n] for n in small}, counts)
-    found.update(order_statistics(df, {n: ranks[n] for n in large}, counts, budget))
+    found = order_statistics(df, {n: sorted({r for p in ps for r in _ranks(p, counts[n])[:2]}) for n, ps in live.items()}, few)
     for n, ps in live.items():
         for j, p in enumerate(ps):
             low, high, part = _ranks(p, counts[n])
@@ -67,131 +59,54 @@ def exact_quantiles(
     return result
 
 
-def _number(name: str) -> Column:
-    return quoted(name).cast("double")
-
-
-def _rank_array(ranks: list[int], n: int) -> Column:
-    """Fractions in the middle of each rank, so that rounding cannot reach a neighbour."""
-    return F.array(*[F.lit((r + 0.5) / n) for r in ranks])
-
-
-def _keeps_all(n: int) -> Column:
-    """Sketch accuracy at which ``n`` values are all kept and ranks are exact."""
-    return F.lit(2 * n + 2)
-
-
-def _ranked_values(df: DataFrame, ranks: dict[str, list[int]], counts: dict[str, int]) -> dict[tuple[str, int], float]:
-    """Order statistics of columns whose values fit into one sketch without loss."""
-    if not ranks:
-        return {}
-    names = list(ranks)
-    row = df.agg(
-        *[
-            F.percentile_approx(_number(n), _rank_array(ranks[n], counts[n]), _keeps_all(counts[n])).alias(f"q{i}")
-            for i, n in enumerate(names)
-        ]
-    ).first()
-    return {(n, r): v for i, n in enumerate(names) for r, v in zip(ranks[n], row[f"q{i}"])}
-
-
-def order_statistics(
-    df: DataFrame, ranks: dict[str, list[int]], counts: dict[str, int], budget: int = VALUE_BUDGET
-) -> dict[tuple[str, int], float]:
+def order_statistics(df: DataFrame, ranks: dict[str, list[int]], few: int = FEW_VALUES) -> dict[tuple[str, int], float]:
     """Values at the given ranks (from 0) of each column, at any number of values."""
-    if not ranks:
-        return {}
-    targets = _first_brackets(df, ranks, counts)
-    limit = max(1_000, budget // len(targets))
-    waiting = targets
+    found: dict[tuple[str, int], float] = {}
+    waiting = [_Bracket(n, rs) for n, rs in ranks.items() if rs]
     while waiting:
-        _count_pass(df, waiting)
-        waiting = [t for t in waiting if t.value is None]
-        # A rank outside its bracket is counted again; one inside is settled or narrowed
-        held = [t for t in waiting if t.inside]
-        _settle_pass(df, [t for t in held if t.inside <= limit])
-        _narrow_pass(df, [t for t in held if t.inside > limit])
-        waiting = [t for t in waiting if t.value is None]
-    return {(t.name, t.rank): t.value for t in targets}
-
-
-def _first_brackets(df: DataFrame, ranks: dict[str, list[int]], counts: dict[str, int]) -> list[_Target]:
-    """Bracket every rank with one sketch per column."""
-    names = list(ranks)
-    measures = []
-    for i, n in enumerate(names):
-        x = _number(n)
-        ends = []
-        for r in ranks[n]:
-            centre = (r + 0.5) / counts[n]
-            ends += [F.lit(max(0.0, centre - _SLACK)), F.lit(min(1.0, centre + _SLACK))]
-        measures += [
-            F.percentile_approx(x, F.array(*ends), F.lit(_ACCURACY)).alias(f"s{i}"),
-            F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-        ]
-    row = df.agg(*measures).first()
-    return [
-        _Target(n, r, row[f"s{i}"][2 * j], row[f"s{i}"][2 * j + 1], row[f"lo{i}"], row[f"hi{i}"])
-        for i, n in enumerate(names)
-        for j, r in enumerate(ranks[n])
-    ]
-
-
-def _count_pass(df: DataFrame, targets: list[_Target]) -> None:
-    """Count around every bracket and place each rank: on an end, inside, or outside."""
-    measures = []
-    for i, t in enumerate(targets):
-        x = _number(t.name)
-        measures += [
-            F.count_if(x < t.low).alias(f"below{i}"), F.count_if(x == t.low).alias(f"low{i}"),
-            F.count_if((x > t.low) & (x < t.high)).alias(f"in{i}"),
-            F.count_if((x == t.high) & F.lit(t.high != t.low)).alias(f"high{i}"),
-        ]
-    row = df.agg(*measures).first()
-    for i, t in enumerate(targets):
-        below, at_low, within, at_high = (row[f"{k}{i}"] for k in ("below", "low", "in", "high"))
-        t.inside = 0
-        if t.rank < below:  # the sketch missed: search left of the bracket
-            t.low, t.high = t.floor, t.low
-        elif t.rank < below + at_low:
-            t.value = t.low
-        elif t.rank < below + at_low + within:
-            t.offset, t.inside = below + at_low, within
-            t.floor, t.ceiling = t.low, t.high
-        elif t.rank < below + at_low + within + at_high:
-            t.value = t.high
-        else:
-            t.low, t.high = t.high, t.ceiling
-
-
-def _inside(t: _Target) -> Column:
-    x = _number(t.name)
-    return F.when((x > t.floor) & (x < t.ceiling), x)
-
-
-def _settle_pass(df: DataFrame, targets: list[_Target]) -> None:
-    """Read the ranks from the few values left inside each bracket."""
-    if not targets:
-        return
-    row = df.agg(
-        *[
-            F.percentile_approx(_inside(t), F.lit((t.rank - t.offset + 0.5) / t.inside), _keeps_all(t.inside)).alias(f"v{i}")
-            for i, t in enumerate(targets)
-        ]
-    ).first()
-    for i, t in enumerate(targets):
-        t.value = row[f"v{i}"]
-
-
-def _narrow_pass(df: DataFrame, targets: list[_Target]) -> None:
-    """Sketch only the values inside each bracket to get a tighter one."""
-    if not targets:
-        return
-    measures = []
-    for i, t in enumerate(targets):
-        centre = (t.rank - t.offset + 0.5) / t.inside
-        ends = F.array(F.lit(max(0.0, centre - _SLACK)), F.lit(min(1.0, centre + _SLACK)))
-        measures.append(F.percentile_approx(_inside(t), ends, F.lit(_ACCURACY)).alias(f"s{i}"))
-    row = df.agg(*measures).first()
-    for i, t in enumerate(targets):
-        t.low, t.high = row[f"s{i}"]
+        narrower = []
+        for start in range(0, len(waiting), AT_ONCE):
+            narrower += _refined(df, waiting[start:start + AT_ONCE], few, found)
+        waiting = narrower
+    return found
+
+
+def _by_size(x: Column) -> Column:
+    """Bucket by sign and sixteenth of an octave, in the order of the values."""
+    octaves = F.floor(F.least(F.log2(F.abs(x)), F.lit(1100.0)) * OCTAVE_PARTS) + 20_000
+    return F.when(x == 0, 0).otherwise(F.signum(x) * octaves).cast("double")
+
+
+def _bucket(b: _Bracket, x: Column, few: int) -> Column:
+    if b.inside is None:
+        return _by_size(x)
+    if b.inside <= few:
+        return x
+    # Rounding keeps the order; the ends fall into the first and the last bucket.
+    return F.floor((x - b.low) / (b.high - b.low) * PARTS).cast("double")
+
+
+def _refined(df: DataFrame, brackets: list[_Bracket], few: int, found: dict[tuple[str, int], float]) -> list[_Bracket]:
+    """Count each bracket by bucket; put settled ranks into ``found`` and return narrower brackets."""
+    entries = []
+    for i, b in enumerate(brackets):
+        x = quoted(b.name).cast("double")
+        held = x.isNotNull() if b.inside is None else x.between(b.low, b.high)
+        entries.append(F.when(held, F.struct(F.lit(i).alias("i"), x.alias("x"), _bucket(b, x, few).alias("bucket"))))
+    values = df.select(F.explode(F.array(*entries)).alias("e")).where("e is not null").select("e.*")
+    buckets = values.groupBy("i", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+    histograms = defaultdict(list)
+    for r in buckets.collect():
+        histograms[r["i"]].append((r["low"], r["high"], r["n"]))
+    out = []
+    for i, b in enumerate(brackets):
+        before, ranks = b.before, list(b.ranks)
+        for low, high, n in sorted(histograms[i]):
+            inside = [r for r in ranks if r < before + n]
+            ranks = ranks[len(inside):]
+            if low == high:
+                found.update({(b.name, r): low for r in inside})
+            elif inside:
+                out.append(_Bracket(b.name, inside, before, n, low, high))
+            before += n
+    return out
