@@ -126,8 +126,9 @@ def diagonal_overlaps(document: np.ndarray, item: np.ndarray, shift: int) -> lis
 def overlaps(df: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", into: str = "overlaps") -> DataFrame:
     """``df`` with an array of overlaps with benchmark items: item, word range, matched words.
 
-    ``into`` must be a new column name.
+    A column called as ``into`` is replaced.
     """
+    df = df.drop(into)
     ship_package(df.sparkSession)
     items = benchmark.select(quoted(item_column).cast("long").alias("item"), quoted("text").cast("string").alias("text")).where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from cleanframe.schema import quoted
 from cleanframe.session import drop_table, ship_package, write_table
 
+from .columns import free_name
 from .words import chunks, lower, mix, shingle_sets, word_hashes
 
 WIDTH = 5
@@ -263,24 +264,28 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("key", "label")
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """``df`` with a row number, written: ids may be null or repeated, and numbers differ from pass to pass."""
-    return write_table(df.withColumn("_near_row", F.monotonically_increasing_id()), "numbered")
+def _numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with a row number, written, and the number's free name.
+
+    Ids may be null or repeated, and numbers differ from pass to pass.
+    """
+    row = free_name(df, "row")
+    return write_table(df.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
 def near_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row: ``id``, ``digest`` (of the text), ``class_id`` (smallest id linked to it
     directly or through others) and ``n_links`` (other rows of similarity 0.8 or more)."""
     text = F.coalesce(quoted(text_column).cast("string"), F.lit(""))
-    base = _numbered(df.select(quoted(id_column).cast("long").alias("id"), text.alias("text")))
-    return _classes(base, "id", "text").select("id", "digest", "class_id", "n_links")
+    base, row = _numbered(df.select(quoted(id_column).cast("long").alias("id"), text.alias("text")))
+    return _classes(base, row, "id", "text").select("id", "digest", "class_id", "n_links")
 
 
-def _classes(numbered: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def _classes(numbered: DataFrame, row: str, id_column: str, text_column: str) -> DataFrame:
     """What ``near_copies`` returns, with ``row`` and ``stays``: true for one row of each class."""
     ship_package(numbered.sparkSession)
     text = F.coalesce(quoted(text_column).cast("string"), F.lit(""))
-    base = numbered.select(quoted(id_column).cast("long").alias("id"), text.alias("text"), F.col("_near_row").alias("row"))
+    base = numbered.select(quoted(id_column).cast("long").alias("id"), text.alias("text"), quoted(row).alias("row"))
     profiles = write_table(
         base.select("id", "text", "row", F.xxhash64("text").alias("digest"))
         .mapInArrow(_profile(runs_needed()), "id long, row long, digest long, key binary, n long, nodes array<long>"), "profiles")
@@ -342,6 +347,6 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     Of rows repeated with id and text one stays; a class without ids keeps one of its rows. Texts
     without words are in no class and all stay.
     """
-    numbered = _numbered(df)
-    gone = write_table(_classes(numbered, id_column, text_column).where(~F.col("stays")).select(F.col("row").alias("_near_row")), "dropped")
-    return numbered.join(gone, "_near_row", "left_anti").drop("_near_row")
+    numbered, row = _numbered(df)
+    gone = write_table(_classes(numbered, row, id_column, text_column).where(~F.col("stays")).select(F.col("row").alias(row)), "dropped")
+    return numbered.join(gone, row, "left_anti").select(*(quoted(c) for c in df.columns))

@@ -223,14 +223,20 @@ def _thinned(values: np.ndarray, most: int = SAMPLE_FEATURES) -> np.ndarray:
 
 
 def scored(df: DataFrame, model: QualityModel, text_column: str = "text", into: str = "quality_score", belief: str = "weak_label") -> DataFrame:
-    """``df`` with the scorer's probability of good and the posterior of the votes."""
+    """``df`` with the scorer's probability of good and the posterior of the votes.
+
+    Columns that are called as one of the two are replaced.
+    """
     ship_package(df.sparkSession)
     place = df.columns.index(text_column)
-    schema = T.StructType([*df.schema.fields, T.StructField(into, T.DoubleType()), T.StructField(belief, T.DoubleType())])
+    kept = [k for k, c in enumerate(df.columns) if c not in (into, belief)]
+    fields = [df.schema.fields[k] for k in kept]
+    schema = T.StructType([*fields, T.StructField(into, T.DoubleType()), T.StructField(belief, T.DoubleType())])
+    names = schema.names
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score, weak = model.score(batch.column(place))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array(weak)], names=[*batch.schema.names, into, belief])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(score), pa.array(weak)], names=names)
 
     return df.mapInArrow(apply, schema)
