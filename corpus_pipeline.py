@@ -13,14 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cleanframe.llm import decontaminate, exact, nearcopies, packing, quality
+from cleanframe.llm.columns import free_name
 from cleanframe.llm.queries import tokenizer_path
 from cleanframe.session import write_table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    kept = quality.scored(docs, quality.fit(docs), into="_quality_score", belief="_weak_label")
-    return kept.where(F.col("_quality_score") >= 0.5).drop("_quality_score", "_weak_label")
+    score, belief = free_name(docs, "quality_score"), free_name(docs, "weak_label")
+    kept = quality.scored(docs, quality.fit(docs), into=score, belief=belief)
+    return kept.where(F.col(score) >= 0.5).drop(score, belief)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with a benchmark item go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.overlaps(docs, benchmark, into="_overlaps").where(F.size("_overlaps") == 0).drop("_overlaps")
+    found = free_name(docs, "overlaps")
+    return decontaminate.overlaps(docs, benchmark, into=found).where(F.size(found) == 0).drop(found)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
