@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +16,7 @@ from .profile import NumericStats, null_table, numeric_stats, outlier_counts
 
 HISTOGRAM_BINS, CARD_BINS = 30, 14
 SAMPLED_POINTS, GRID_POINTS = 500, 200
+KERNEL_TERMS, KERNEL_REACH = 13, 9
 NULL_VALUE = "(null)"
 
 
@@ -186,39 +185,72 @@ def density_comparison(before: DataFrame, after: DataFrame, column: str, points:
         schema = pa.schema([("moment", pa.string()), ("value", pa.float64()), ("density", pa.float64())])
         return small_frame(before.sparkSession, [], schema)
     lo, hi = min(s.low for s in known), max(s.high for s in known)
-    grid = [lo + i * (hi - lo) / (points - 1) for i in range(points)] if hi > lo else [lo]
-    curves = [_density(d, column, stats[m], grid).select(F.lit(m).alias("moment"), "value", "density") for m, d in sides.items()]
+    steps = points - 1 if hi > lo else 0
+    curves = [
+        _density(d.select(quoted(column).cast("double").alias("x")), stats[m], lo, hi, steps)
+        .select(F.lit(m).alias("moment"), "value", "density")
+        for m, d in sides.items()
+    ]
     return curves[0].unionByName(curves[1])
 
 
-def _density(df: DataFrame, column: str, s: NumericStats, grid: list[float]) -> DataFrame:
-    """Density over all values. Each task adds up its rows in Arrow batches and hands on
-    one number per grid point, so the shuffle does not grow with the table."""
-    x = quoted(column).cast("double")
-    std = s.std or 0.0
-    iqr = s.q3 - s.q1 if s.n > 1 else 0.0
-    # Silverman's rule of thumb
-    spread = min(std, iqr / 1.34) if iqr > 0 else std
-    if not spread:
-        rows = [F.struct(F.lit(g).alias("value"), F.lit(0.0).alias("density")) for g in grid]
-        return df.sparkSession.range(1).select(F.inline(F.array(*rows)))
-    width = 0.9 * spread * s.n ** (-1 / 5)
-    marks = np.array(grid) / width
-
-    def partial(batches):
-        total = np.zeros(len(marks))
-        for batch in batches:
-            z = batch["z"].to_numpy()
-            for start in range(0, len(z), 2_048):
-                d = z[start:start + 2_048, None] - marks[None, :]
-                total += np.exp(-0.5 * d * d).sum(axis=0)
-        yield pd.DataFrame({"point": np.arange(len(marks)), "part": total})
-
-    scaled = df.where(x.isNotNull()).select((x / width).alias("z"))
-    parts = scaled.mapInPandas(partial, "point long, part double").groupBy("point").agg(F.sum("part").alias("total"))
-    scale = s.n * width * math.sqrt(2 * math.pi)
-    value = F.element_at(F.array(*[F.lit(g) for g in grid]), (F.col("point") + 1).cast("int"))
-    return parts.select(value.alias("value"), (F.col("total") / scale).alias("density"))
+def bandwidth(s: NumericStats) -> float:
+    """Width of the kernel by Silverman's rule; 0 for a column without spread."""
+    if not s.std:
+        return 0.0
+    quartiles = (s.q3 - s.q1) / 1.34
+    return 0.9 / s.n ** 0.2 * (min(quartiles, s.std) if quartiles > 0 else s.std)
+
+
+def _density(values: DataFrame, s: NumericStats, lo: float, hi: float, steps: int) -> DataFrame:
+    """Density at ``steps + 1`` equally spaced points from all values of ``x``.
+
+    Values are gathered in cells of half a kernel width, of which only the power sums around
+    the middle go through the shuffle. A cell's share of a point is the Gaussian at its
+    middle times a series in those sums and the Hermite polynomials; thirteen terms leave an
+    error below 1e-11 of the kernel's height. Points over nine widths away get nothing.
+    """
+    width = bandwidth(s)
+    step = (hi - lo) / steps if steps else 0.0
+    spark = values.sparkSession
+    grid = spark.range(steps + 1).select(F.col("id").alias("point"))
+    value = F.lit(lo) + F.col("point") * F.lit(step)
+    if not width:
+        return grid.select(value.alias("value"), F.lit(0.0).alias("density"))
+
+    z = (F.col("x") - F.lit(lo)) / F.lit(width)
+    placed = values.where("x is not null").select(z.alias("z")).select((F.rint(F.col("z") * 2) / 2).alias("cell"), "z")
+    off, power, sums = F.col("z") - F.col("cell"), F.lit(1.0), []
+    for k in range(KERNEL_TERMS):
+        sums.append(F.sum(power).alias(f"m{k}"))
+        power = power * off
+    cells = placed.groupBy("cell").agg(*sums)
+
+    # Positions of points and cells, both in kernel widths from the low end
+    apart = step / width
+    if steps:
+        first = F.greatest(F.ceil((F.col("cell") - KERNEL_REACH) / apart), F.lit(0))
+        last = F.least(F.floor((F.col("cell") + KERNEL_REACH) / apart), F.lit(steps))
+        near = cells.where(first <= last).withColumn("point", F.explode(F.sequence(first, last)))
+    else:
+        near = cells.withColumn("point", F.lit(0).cast("long"))
+    t = F.col("point") * F.lit(apart) - F.col("cell")
+    parts = near.select("point", F.exp(-t * t / 2).alias("height"), t.alias("t"), F.array(*[f"m{k}" for k in range(KERNEL_TERMS)]).alias("m"))
+    # h(k+1) = (t h(k) - h(k-1)) / (k+1): Hermite polynomials over k!
+    series = F.aggregate(
+        "m",
+        F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("h"), F.lit(0.0).alias("before"), F.lit(0.0).alias("k")),
+        lambda a, m: F.struct(
+            (a["sum"] + m * a["h"]).alias("sum"), ((F.col("t") * a["h"] - a["before"]) / (a["k"] + 1)).alias("h"),
+            a["h"].alias("before"), (a["k"] + 1).alias("k"),
+        ),
+        lambda a: a["sum"],
+    )
+    kernel = parts.select("point", (F.col("height") * series).alias("part"))
+    everywhere = grid.withColumn("part", F.lit(0.0)).unionByName(kernel)
+    height = 1 / (s.n * width * math.sqrt(2 * math.pi))
+    summed = everywhere.groupBy("point").agg(F.sum("part").alias("total"))
+    return summed.select(value.alias("value"), F.greatest(F.col("total") * height, F.lit(0.0)).alias("density"))
 
 
 # --- categories and correlation -----------------------------------------------------------------

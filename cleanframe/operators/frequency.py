@@ -7,31 +7,32 @@ most frequent values and entropy are all read from this table.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import as_text as text_of
-from ..functions.numbers import number_text
 from ..schema import dtype_of, is_integral, is_numeric, quoted
 
-# A value sits in one of three typed fields, so that ties go to the smallest by type.
-_FIELDS = ("whole", "number", "text")
-
+def _home(dtype: T.DataType, as_text: bool) -> tuple[str, str]:
+    """Field and type that hold a column's values, so that ties go to the smallest by type.
 
-def _pair(df: DataFrame, name: str, as_text: bool) -> Column:
-    c, dtype = quoted(name), dtype_of(df, name)
-    home = "text"
+    Decimals have a field for each scale, with all digits.
+    """
     if not as_text and is_integral(dtype):
-        home = "whole"
-    elif not as_text and is_numeric(dtype):
-        home = "number"
-    types = {"whole": "long", "number": "double", "text": "string"}
-    value = text_of(c, dtype) if home == "text" else c.cast(types[home])
-    return F.struct(
-        F.lit(name).alias("column"),
-        *[(value if f == home else F.lit(None).cast(types[f])).alias(f) for f in _FIELDS],
-    )
+        return "whole", "long"
+    if not as_text and isinstance(dtype, T.DecimalType):
+        return f"exact{dtype.scale}", f"decimal(38,{dtype.scale})"
+    if not as_text and is_numeric(dtype):
+        return "number", "double"
+    return "text", "string"
+
+
+def _value_fields(frequency: DataFrame) -> list[str]:
+    return [n for n in frequency.columns if n not in ("column", "rows", "rank")]
 
 
 def countable(df: DataFrame, name: str) -> bool:
@@ -39,15 +40,23 @@ def countable(df: DataFrame, name: str) -> bool:
 
 
 def value_frequency(df: DataFrame, columns: list[str], as_text: bool = False) -> DataFrame:
-    """Rows ``(column, whole, number, text, rows)``: how often each non-null value occurs."""
-    pairs = df.select(F.inline(F.array(*[_pair(df, n, as_text) for n in columns])))
-    present = pairs.where("whole is not null or number is not null or text is not null")
-    return present.groupBy("column", *_FIELDS).agg(F.count(F.lit(1)).alias("rows"))
+    """Rows ``(column, <typed fields>, rows)``: how often each non-null value occurs.
+
+    A value sits in the field of its type: ``whole``, ``exact<scale>``, ``number``, ``text``.
+    """
+    homes = {n: _home(dtype_of(df, n), as_text) for n in columns}
+    types = {"whole": "long", "number": "double", "text": "string", **dict(homes.values())}
 
+    def pair(name: str) -> Column:
+        c, dtype, (home, to) = quoted(name), dtype_of(df, name), homes[name]
+        value = text_of(c, dtype) if home == "text" else c.cast(to)
+        return F.struct(
+            F.lit(name).alias("column"), *[(value if f == home else F.lit(None).cast(t)).alias(f) for f, t in types.items()]
+        )
 
-def value_text() -> Column:
-    """The value of a frequency row as text."""
-    return F.coalesce(F.col("text"), F.col("whole").cast("string"), number_text(F.col("number")))
+    pairs = df.select(F.inline(F.array(*[pair(n) for n in columns])))
+    present = pairs.where(reduce(or_, [F.col(f).isNotNull() for f in types]))
+    return present.groupBy("column", *types).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def ranked(frequency: DataFrame, k: int) -> DataFrame:
@@ -56,7 +65,7 @@ def ranked(frequency: DataFrame, k: int) -> DataFrame:
     The rank filter is applied inside each task first, so a column with very many
     distinct values never sits in one task.
     """
-    w = Window.partitionBy("column").orderBy(F.col("rows").desc(), *_FIELDS)
+    w = Window.partitionBy("column").orderBy(F.col("rows").desc(), *_value_fields(frequency))
     return frequency.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -79,8 +88,9 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, tuple[object, int]]:
     """Most frequent value per column with its count (ties: smallest), as driver values."""
     if not columns:
         return {}
-    top = ranked(value_frequency(df, columns), 1).collect()
-    return {r["column"]: (next((r[f] for f in _FIELDS if r[f] is not None), None), r["rows"]) for r in top}
+    top = ranked(value_frequency(df, columns), 1)
+    fields = _value_fields(top)
+    return {r["column"]: (next((r[f] for f in fields if r[f] is not None), None), r["rows"]) for r in top.collect()}
 
 
 def common_values(df: DataFrame, columns: list[str] | None = None, limit: int = 300) -> DataFrame:

@@ -4,141 +4,64 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..functions.vocabulary import label
-from ..operators.columns import drop_columns, effective_renames, snake_case_columns
-from ..operators.impute import ORDERED, STATIC, apply_fills, plan_one_method
-from ..operators.kinds import convert_types, invalid_counts, convert_type
-from ..operators.outliers import apply_actions, outlier_bounds
-from ..operators.profile import outlier_counts
-from ..operators.rows import (
-    apply_filters, columns_above_null_share, drop_duplicates, drop_duplicates_on, drop_null_rows, drop_repeated,
-)
-from ..operators.text import standardise_text
-from ..schema import dtype_of, nan_to_null, numeric_columns, quoted, text_columns
-from .log import Counted, Log, format_number
+from ..schema import nan_to_null
+from . import steps
+from .log import Log
+from .steps import Run
+
+
+def structure_steps(cfg: dict) -> list:
+    """Steps that are projections: names, types, text."""
+    chosen = [steps.DropColumns(cfg.get("drop_columns") or []), steps.RenameColumns(cfg.get("rename") or {})]
+    if cfg.get("snake_case"):
+        chosen.append(steps.SnakeCase())
+    chosen.append(steps.ConvertColumns(
+        cfg.get("conversions") or {}, cfg.get("decimal_comma", False), cfg.get("dayfirst", True), cfg.get("date_formats") or {},
+    ))
+    chosen.append(steps.StandardiseText(cfg.get("text_columns") or [], cfg.get("text_options") or {}))
+    return chosen
+
+
+def row_steps(cfg: dict) -> list:
+    """Steps on whole rows and on their statistics, in their fixed order."""
+    chosen, rows = [], cfg.get("dup_null") or {}
+    if rows.get("drop_duplicates"):
+        chosen.append(steps.RemoveDuplicates(rows.get("dup_subset"), rows.get("keep", "first")))
+    chosen.append(steps.RequireValues(rows.get("drop_null_rows_in") or []))
+    if rows.get("drop_cols_threshold") is not None:
+        chosen.append(steps.DropSparseColumns(rows["drop_cols_threshold"]))
+    if cfg.get("impute_columns"):
+        chosen.append(steps.FillNulls(
+            cfg["impute_columns"], cfg["impute_method"], cfg.get("fixed_value"), cfg.get("skew_limit", 0.5),
+        ))
+    chosen.append(steps.TreatOutliers(
+        cfg.get("outlier_columns") or [], cfg.get("outlier_method", "IQR"), cfg.get("outlier_factor", 1.5),
+        cfg.get("outlier_action", "remove"),
+    ))
+    chosen.append(steps.KeepMatching(cfg.get("filters") or []))
+    return chosen
 
 
 def run_pipeline(
     df: DataFrame, cfg: dict, row_id: str | None = None, order_by: list | None = None,
-    partition_by: list[str] | None = None,
+    partition_by: list[str] | None = None, materialise: bool = True,
 ) -> tuple[DataFrame, Log]:
     """Apply the steps of ``cfg`` in order. Unknown columns are ignored; steps after the
     renaming use the new names.
 
     ``order_by`` (default the ``row_id``) is needed by keep first/last on a subset and by
     fills from neighbouring rows.
-    """
-    log = Log()
-    df = nan_to_null(df)
-
-    def existing(names) -> list[str]:
-        return [n for n in (names or []) if n in df.columns]
-
-    dropped = existing(cfg.get("drop_columns"))
-    if dropped:
-        df = drop_columns(df, dropped)
-        log.add("drop", None, f"columns dropped: {', '.join(dropped)}")
-    renames = {o: n for o, n in effective_renames(cfg.get("rename")).items() if o in df.columns}
-    if renames:
-        df = df.withColumnsRenamed(renames)
-        row_id = renames.get(row_id, row_id)
-        log.add("rename", None, "columns renamed: " + ", ".join(f"{o} to {n}" for o, n in renames.items()))
-    if cfg.get("snake_case", False):
-        old = df.columns
-        df = snake_case_columns(df)
-        row_id = dict(zip(old, df.columns)).get(row_id, row_id)
-        log.add("snake_case", None, "column names in snake case")
-    order_by = order_by or ([row_id] if row_id else None)
-
-    conversions = {c: t for c, t in cfg.get("conversions", {}).items() if c in df.columns}
-    if conversions:
-        comma, day_first = cfg.get("decimal_comma", False), cfg.get("dayfirst", True)
-        formats = cfg.get("date_formats", {})
-        source = df
-        converted = {
-            c: convert_type(quoted(c), dtype_of(df, c), t, comma, day_first, formats.get(c)) for c, t in conversions.items()
-        }
-        lost = Counted(lambda: invalid_counts(source, converted), "column", "invalid")
-        for c, t in conversions.items():
-            log.add("convert", c, f"converted to {label(t)}, invalid values became null", lost.later(c))
-        df = convert_types(df, conversions, comma, day_first, formats)
-
-    texts = [c for c in existing(cfg.get("text_columns")) if c in text_columns(df)]
-    if texts:
-        df = standardise_text(df, texts, **cfg.get("text_options", {}))
-        log.add("text", None, f"text standardised in {len(texts)} column(s)")
-
-    df = _duplicates_and_nulls(df, cfg.get("dup_null", {}), existing, row_id, order_by, log)
-
-    imputed = existing(cfg.get("impute_columns"))
-    if imputed:
-        fills = plan_one_method(df, imputed, cfg["impute_method"], cfg.get("fixed_value"), cfg.get("skew_limit", 0.5))
-        before = df
-        df = apply_fills(df, fills, order_by, partition_by)
-        after = df
-        for f in fills:
-            if f.method == "skip":
-                log.add("impute", f.column, f"skipped: {f.reason}", 0)
-            elif f.method in STATIC:
-                log.add("impute", f.column, f"{f.method}: {f.reason}", f.nulls if f.value is not None else 0, format_number(f.value))
-            elif f.method in ORDERED:
-                log.add("impute", f.column, f.method, _filled_later(before, after, f.column))
-
-    bounded = [n for n in existing(cfg.get("outlier_columns")) if n in numeric_columns(df)]
-    if bounded:
-        method, action = cfg.get("outlier_method", "IQR"), label(cfg.get("outlier_action", "remove"))
-        bounds = outlier_bounds(df, bounded, method, cfg.get("outlier_factor", 1.5))
-        found = outlier_counts(df, bounds)
-        for n in bounded:
-            low, high = bounds[n]
-            limits = "no values" if low is None else f"{low:.2f} to {high:.2f}"
-            log.add("outliers", n, f"{method}, limits {limits}, {action}", found[n])
-        before_removal = df
-        df = apply_actions(df, bounds, {n: action for n in bounded})
-        if action == "remove":
-            after_removal = df
-            log.add("remove", None, "rows with outliers removed", lambda: before_removal.count() - after_removal.count())
 
-    filtered = apply_filters(df, [f for f in cfg.get("filters", []) if f["column"] in df.columns])
-    removed = Counted(filtered.removed_counts, "filter", "removed")
-    for i, f in enumerate(filtered.filters):
-        skipped = "skipped, value does not fit the column: " if filtered.conditions[i] is None else ""
-        log.add("filter", f["column"], f"{skipped}{label(f['operator'])} {f.get('value', '')}".strip(), removed.later(i + 1))
-    return filtered.df, log
-
-
-def _filled_later(before: DataFrame, after: DataFrame, column: str):
-    def count() -> int:
-        return before.where(quoted(column).isNull()).count() - after.where(quoted(column).isNull()).count()
-
-    return count
-
-
-def _removed_later(before: DataFrame, after: DataFrame):
-    return lambda: before.count() - after.count()
-
-
-def _duplicates_and_nulls(df: DataFrame, options: dict, existing, row_id, order_by, log: Log) -> DataFrame:
-    if options.get("drop_duplicates", False):
-        subset, keep, before = existing(options.get("dup_subset")), options.get("keep", "first"), df
-        if keep in (False, "none"):
-            df = drop_repeated(df, subset or [n for n in df.columns if n != row_id])
-        elif subset:
-            if not order_by:
-                raise ValueError("keeping the first or last duplicate needs order_by or row_id")
-            df = drop_duplicates_on(df, subset, [quoted(o) if isinstance(o, str) else o for o in order_by], keep)
-        else:
-            df = drop_duplicates(df, row_id)
-        log.add("dedup", None, "duplicate rows removed", _removed_later(before, df))
-    required = existing(options.get("drop_null_rows_in"))
-    if required:
-        before = df
-        df = drop_null_rows(df, required)
-        log.add("required", None, f"rows with nulls in {', '.join(required)} removed", _removed_later(before, df))
-    threshold = options.get("drop_cols_threshold")
-    if threshold is not None:
-        names = [n for n in columns_above_null_share(df, threshold) if n != row_id]
-        if names:
-            df = df.drop(*[quoted(n) for n in names])
-            log.add("drop", None, f"columns above {threshold}% nulls dropped: {', '.join(names)}")
-    return df
+    With ``materialise`` the table is written to the scratch folder once after the
+    duplicates are gone, or before the first statistics, and once more after fills in row
+    order. Statistics, counts of the log and the result then read that table, so texts,
+    conversions and the shuffle of the duplicates are computed once.
+    """
+    run = Run(nan_to_null(df), row_id, order_by, partition_by, materialise)
+    for step in structure_steps(cfg):
+        step.apply(run)
+    if not run.order_by and run.row_id:
+        run.order_by = [run.row_id]
+    for step in row_steps(cfg):
+        step.apply(run)
+    return run.rows, run.log

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cleanframe.operators import frequency, profile
+from cleanframe.operators import frequency, impute, profile
 
 from .registry import query, sql_skew
 
@@ -28,6 +28,34 @@ def _(t):
     return profile.distinct_counts(t.dirty_events)
 
 
+# Values that differ in the twentieth digit after the point only, where doubles would fall together
+_DECIMALS = """with d as (select l_orderkey, l_linenumber,
+    cast(case when l_linenumber < 7 then cast(l_partkey % 5 as varchar) || '.0000000000000000000' || cast(l_linenumber as varchar) end as decimal(38,20)) as fine,
+    cast(l_quantity as decimal(12,2)) as coarse from lineitem)"""
+
+
+def _decimals(t):
+    text = F.concat((c("l_partkey") % 5).cast("string"), F.lit(".0000000000000000000"), c("l_linenumber").cast("string"))
+    return t.lineitem.select(
+        "l_orderkey", "l_linenumber", F.when(c("l_linenumber") < 7, text).cast("decimal(38,20)").alias("fine"),
+        c("l_quantity").cast("decimal(12,2)").alias("coarse"),
+    )
+
+
+@query("distinct_decimals", _DECIMALS + """
+    select 'fine' as "column", count(distinct fine) as "distinct" from d union all select 'coarse', count(distinct coarse) from d""")
+def _(t):
+    return profile.distinct_counts(_decimals(t).select("fine", "coarse"))
+
+
+@query("impute_mode_decimals", _DECIMALS + """
+    , m as (select fine as v from d where fine is not null group by 1 order by count(*) desc, fine limit 1)
+    select l_orderkey, l_linenumber, cast(coalesce(fine, v) as varchar) as fine from d, m""")
+def _(t):
+    filled = impute.impute(_decimals(t), ["fine"], "mode")
+    return filled.select("l_orderkey", "l_linenumber", c("fine").cast("string").alias("fine"))
+
+
 @query("skewness", " union all ".join(f"""
     select '{n}' as "column", round({sql_skew(n)}, 6) as skewness,
       case when abs({sql_skew(n)}) < 0.15 then 'symmetric' when abs({sql_skew(n)}) < 1 then 'moderate ' else 'strong ' end
