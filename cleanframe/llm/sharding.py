@@ -58,6 +58,8 @@ def communication_matrix(sizes: DataFrame, blocks: int, capacities: str, seed: i
     """(``block``, ``counts``): rows each of ``blocks`` (a power of two) sends to each target.
 
     ``sizes`` has ``block`` and ``n``; ``capacities`` is SQL for the array of target sizes.
+    The first three levels, seven draws of a line, are one task; from there on the nodes of
+    every third level are dealt out to as many tasks as there are nodes.
     """
     found = sizes.agg(F.map_from_entries(F.collect_list(F.struct("block", "n"))).alias("m"))
     nodes = found.select(
@@ -84,8 +86,8 @@ def communication_matrix(sizes: DataFrame, blocks: int, capacities: str, seed: i
             F.zip_with("counts", "left", lambda a, b: a - b).alias("counts"),
         )
         nodes = nodes.select(F.inline(F.array(first, second)))
-        if level % 3 == 2:  # keeps the plan of one job short
-            nodes = write_table(nodes, "matrix")
+        if level % 3 == 2 and half > 1:  # keeps the plan of one job short, and spreads its nodes over tasks
+            nodes = write_table(nodes, "matrix").repartition(2 << level, "block")
     return nodes.select("block", "counts")
 
 
