@@ -13,13 +13,14 @@ its whole subtree with it. Of all such choices the most likely one is taken, so
 descendant never contradict each other.
 
 Defined results: a null or empty page, or one without text, gives an empty text. Truncated pages
-are read as far as they go. Repeated rows are extracted alike; other columns stay.
+are read as far as they go. A table without named articles is read by ``plain_trees``. Repeated rows are extracted alike; other columns stay.
 """
 
 from __future__ import annotations
 
 import html as html_names
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,6 +67,8 @@ OTHER_WORDS = {
 OTHER_TAGS = {"nav", "footer", "aside", "form", "menu", "button", "select", "dialog", "fieldset"}
 FEATURES = 26
 _BLANKED = slice(0, 10)
+# Own and surrounding names and tags of other parts, page header, share of links.
+_PLAIN_OUT = (1, 5, 3, 7, 9, 13)
 
 
 class Page:
@@ -78,6 +81,7 @@ class Page:
     def _read(self, source: str) -> None:
         stack, at, size = [0], 0, len(source)
         hidden, links, pieces, linked = 0, 0, [], 0
+        opened: Counter[str] = Counter()  # tags on the stack, so that a search that finds nothing isn't begun
 
         def flush() -> None:
             nonlocal linked
@@ -93,6 +97,7 @@ class Page:
             flush()
             for node in stack[depth:]:
                 hidden -= self.tag[node] in UNSHOWN
+                opened[self.tag[node]] -= 1
             del stack[depth:]
 
         phrasing: list[str] = []
@@ -120,6 +125,8 @@ class Page:
                 if name in PHRASING:
                     links -= name == "a" and links > 0
                     continue
+                if not opened[name]:
+                    continue
                 for depth in range(len(stack) - 1, 0, -1):
                     if self.tag[stack[depth]] == name:
                         close(depth)
@@ -137,7 +144,7 @@ class Page:
                 if name == "hr":
                     flush()
                 continue
-            if name in CLOSES_P or name in SAME_CLOSES:
+            if name in CLOSES_P and opened["p"] or name in SAME_CLOSES and opened[name]:
                 limit = SAME_CLOSES.get(name)
                 for depth in range(len(stack) - 1, 0, -1):
                     open_tag = self.tag[stack[depth]]
@@ -163,6 +170,7 @@ class Page:
                 at = size if close_at < 0 else close_at + 1
                 continue
             stack.append(node)
+            opened[name] += 1
             hidden += name in UNSHOWN
         del phrasing
         close(0)
@@ -304,6 +312,21 @@ def _flatten(node) -> tuple:
     return tuple(np.array(c) for c in zip(*rows))
 
 
+def plain_trees() -> Trees:
+    """Stated defaults for tables whose mark-up names no article, or nothing else.
+
+    A node is in unless it or an element around it is named as another part, it is a page
+    header, or more than half of its text is links.
+    """
+    def leaf(value: float) -> tuple:
+        return np.array([0]), np.array([0.0]), np.array([0]), np.array([0]), np.array([value])
+
+    def above_half(feature: int, value: float) -> tuple:
+        return np.array([feature, 0, 0]), np.array([0.5, 0, 0]), np.array([1, 1, 2]), np.array([2, 1, 2]), np.array([0, 0, value])
+
+    return Trees([leaf(1.0), *(above_half(k, -4.0) for k in _PLAIN_OUT)], [1.0] * (1 + len(_PLAIN_OUT)))
+
+
 def fit(pages: DataFrame, html_column: str = "html", sample_pages: int = SAMPLE_PAGES) -> Trees:
     """Trees from about ``sample_pages`` pages, chosen by a hash of the page."""
     ship_package(pages.sparkSession)
@@ -336,7 +359,7 @@ def fit(pages: DataFrame, html_column: str = "html", sample_pages: int = SAMPLE_
     sample = write_table(picked.mapInArrow(nodes, "x array<double>, label double"), "nodes")
     kinds = {r[0] for r in sample.select("label").distinct().collect()}
     if len(kinds) < 2:
-        return Trees([(np.array([0]), np.array([0.0]), np.array([0]), np.array([0]), np.array([1.0 if kinds == {1.0} else -1.0]))], [1.0])
+        return plain_trees()
     trained = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1).fit(sample.select(array_to_vector("x").alias("features"), "label"))
     return Trees([_flatten(t._call_java("rootNode")) for t in trained.trees], list(trained.treeWeights))
 
