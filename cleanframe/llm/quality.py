@@ -24,7 +24,6 @@ from cleanframe.session import ship_package
 from .words import chunks, mix, prefix_sums, span_hash
 
 SAMPLE_ROWS = 4_000
-SAMPLE_FEATURES = 256
 BUCKETS = 1 << 16
 LABELLERS = 6
 ABSTAIN, BAD, GOOD = 0, 1, 2
@@ -137,12 +136,15 @@ def posterior(patterns: np.ndarray, share: float, table: np.ndarray) -> np.ndarr
     return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
 
 
-def fit_scorer(buckets: list[np.ndarray], labels: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Weights of the linear scorer (the bias last), by gradient descent on soft labels."""
-    lengths = np.array([max(1, len(b)) for b in buckets])
+def fit_scorer(buckets: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray, rounds: int = 300) -> np.ndarray:
+    """Weights of the linear scorer (the bias last), by gradient descent on soft labels.
+
+    ``buckets`` and ``counts`` hold the distinct features of each text and how often each occurs.
+    """
+    lengths = np.array([max(1, c.sum()) for c in counts])
     flat = np.concatenate([*buckets, np.empty(0, np.int64)]).astype(np.int64)
     row = np.repeat(np.arange(len(buckets)), [len(b) for b in buckets])
-    share = 1 / lengths[row]
+    share = np.concatenate([*counts, np.empty(0, np.int64)]) / lengths[row]
     weights = np.zeros(BUCKETS + 1)
     speed = np.full(BUCKETS + 1, 1e-8)
     balance = np.where(labels > 0.5, 0.5 / max(1e-9, labels.mean()), 0.5 / max(1e-9, 1 - labels.mean()))
@@ -173,7 +175,10 @@ class QualityModel:
 
 
 def fit(df: DataFrame, text_column: str = "text", sample_rows: int = SAMPLE_ROWS) -> QualityModel:
-    """Accuracies from the votes on all rows; scorer from about ``sample_rows`` of them."""
+    """Accuracies from the votes on all rows; scorer from about ``sample_rows`` of them.
+
+    The sample holds each text whole, as counts of at most ``BUCKETS`` features.
+    """
     ship_package(df.sparkSession)
     texts = df.select(quoted(text_column).cast("string").alias("text"))
 
@@ -196,30 +201,25 @@ def fit(df: DataFrame, text_column: str = "text", sample_rows: int = SAMPLE_ROWS
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, codes = [], []
+            rows, repeats, codes = [], [], []
             for _, data, borders in chunks(batch.column(1)):
                 tokens = Tokens(data, borders)
                 codes += (votes(data, borders, tokens) @ 3 ** np.arange(LABELLERS)).tolist()
                 for a, b in zip(tokens.rows[:-1], tokens.rows[1:]):
-                    rows.append(_thinned(tokens.buckets[:, a:b].ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(codes, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], ["key", "pattern", "buckets"])
+                    seen, often = np.unique(tokens.buckets[:, a:b].ravel().astype(np.int32), return_counts=True)
+                    rows.append(seen)
+                    repeats.append(often.astype(np.int32))
+            lists = [pa.array(x, pa.list_(pa.int32())) for x in (rows, repeats)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.int64()), *lists], ["key", "pattern", "buckets", "counts"])
 
     # Each text once: all copies of a text are picked together, and may be a third of all rows.
     picked = texts.select(F.xxhash64("text").alias("key"), "text").where(F.pmod("key", F.lit(1_000_003)) < int(1_000_003 * share_taken) + 1)
     picked = picked.groupBy("key").agg(F.min("text").alias("text"))
-    sample = picked.mapInArrow(features, "key long, pattern long, buckets array<long>").toArrow().sort_by("key").drop_columns("key")
+    sample = picked.mapInArrow(features, "key long, pattern long, buckets array<int>, counts array<int>").toArrow().sort_by("key").drop_columns("key")
     codes = sample.column(0).to_numpy()
-    buckets = [np.array(x, dtype=np.int64) for x in sample.column(1).to_pylist()]
+    buckets, counts = ([x.values.to_numpy() for x in sample.column(k)] for k in (1, 2))
     soft = posterior(codes[:, None] // 3 ** np.arange(LABELLERS) % 3, share, table)
-    return QualityModel(share, table, fit_scorer(buckets, soft) if len(buckets) else np.zeros(BUCKETS + 1))
-
-
-def _thinned(values: np.ndarray, most: int = SAMPLE_FEATURES) -> np.ndarray:
-    """All values, or ``most`` of them in the same proportions: evenly spaced ones of the sorted."""
-    if len(values) <= most:
-        return values
-    return np.sort(values)[np.linspace(0, len(values) - 1, most).astype(np.int64)]
+    return QualityModel(share, table, fit_scorer(buckets, counts, soft) if len(buckets) else np.zeros(BUCKETS + 1))
 
 
 def scored(df: DataFrame, model: QualityModel, text_column: str = "text", into: str = "quality_score", belief: str = "weak_label") -> DataFrame:

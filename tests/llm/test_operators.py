@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import zipfile
 import zlib
 from collections import Counter, defaultdict
@@ -482,3 +483,42 @@ def test_marginals_against_enumeration():
     chance, moves, log_partition = toxicity.marginals(scores, np.zeros(5, dtype=int), np.arange(5), move)
     assert np.allclose(chance, expected) and np.isclose(log_partition, np.log(total))
     assert np.isclose(moves.sum(), 4)
+
+
+def test_plain_pages_keep_their_text(spark):
+    plain = "<html><body><nav><a href=/>Home</a><a href=/b>More</a></nav><h1>Title</h1><p>First words.</p><div>Second <b>words</b>.</div><footer>made by us</footer></body></html>"
+    df = spark.createDataFrame([(1, plain), (2, "<p>Only this.</p>"), (3, None)], "page_id long, html string")
+    out = {r.page_id: r.main_text for r in html.extracted(df, html.fit(df)).collect()}
+    assert out == {1: "Title\nFirst words.\nSecond words.", 2: "Only this.", 3: ""}
+
+
+def test_unmatched_tags_take_linear_time():
+    n = 20_000
+    started = time.time()
+    html.Page("<div>" * n + "</section>" * n + "<li>x</li><p>y" * n)
+    assert time.time() - started < 10
+
+
+def test_matrix_is_drawn_in_many_tasks(spark):
+    sizes = spark.range(64).select(F.col("id").alias("block"), F.lit(40).cast("long").alias("n"))
+    matrix = sharding.communication_matrix(sizes, 64, "transform(sequence(1, 32), t -> 80L)", 3)
+    assert matrix.rdd.getNumPartitions() == 8  # the nodes of the third level
+    rows = matrix.collect()
+    assert len(rows) == 64 and all(sum(r.counts) == 40 for r in rows)
+    assert [sum(c) for c in zip(*(r.counts for r in rows))] == [80] * 32
+
+
+def test_scorer_reads_whole_texts(spark):
+    """A sampled text enters with all its words: what is at its end counts like the rest."""
+    bad = "#### %%%% $$$$ " * 400
+    rows = [(i, ("the quiet words of a plain text. " * 200 if i % 2 else bad) + f"mark{i % 2} " * 300) for i in range(60)]
+    model = quality.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    score, _ = model.score(pa.array(["mark1 " * 50, "mark0 " * 50]))
+    assert score[0] > score[1]
+
+
+def test_scorer_of_counts_is_that_of_repeats():
+    labels = np.array([1.0, 0.0])
+    repeated = quality.fit_scorer([np.array([3, 3, 5]), np.array([7, 9])], [np.ones(3, int), np.ones(2, int)], labels, 20)
+    counted = quality.fit_scorer([np.array([3, 5]), np.array([7, 9])], [np.array([2, 1]), np.ones(2, int)], labels, 20)
+    assert np.allclose(repeated, counted)
