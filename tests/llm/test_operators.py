@@ -480,11 +480,55 @@ def test_marginals_against_enumeration():
         weights[tuple(path)] = np.exp(sum(s for s, p in zip(scores, path) if p) + sum(move[a, b] for a, b in zip(path, path[1:])))
     total = sum(weights.values())
     expected = [sum(w for p, w in weights.items() if p[k]) / total for k in range(5)]
-    chance, moves, log_partition = toxicity.marginals(scores, np.zeros(5, dtype=int), np.arange(5), move)
+    chance, moves, log_partition = toxicity.marginals(scores, np.array([0, 5]), move)
     assert np.allclose(chance, expected) and np.isclose(log_partition, np.log(total))
     assert np.isclose(moves.sum(), 4)
 
 
+def test_chains_are_whole_documents():
+    """Long, short and empty documents against a walk word by word over each of them."""
+    rng = np.random.default_rng(5)
+    sizes = [3, 0, 64, 65, 1, 1000, 128, 7001, 0]
+    rows = np.concatenate([[0], np.cumsum(sizes)])
+    scores, move = rng.normal(scale=3, size=rows[-1]), rng.normal(scale=2, size=(2, 2))
+    expected, total = [], 0.0
+    for a, b in zip(rows[:-1], rows[1:]):
+        if a == b:
+            continue
+        there, back = np.zeros((b - a, 2)), np.zeros((b - a, 2))
+        for k in range(b - a):
+            own = np.array([0, scores[a + k]])
+            there[k] = own if k == 0 else own + np.logaddexp(there[k - 1][0] + move[0], there[k - 1][1] + move[1])
+        for k in range(b - a - 2, -1, -1):
+            ahead = back[k + 1] + np.array([0, scores[a + k + 1]])
+            back[k] = np.logaddexp(move[:, 0] + ahead[0], move[:, 1] + ahead[1])
+        both = there + back
+        expected.append(1 / (1 + np.exp(both[:, 0] - both[:, 1])))
+        total += np.logaddexp(*there[-1])
+    for group in (toxicity.GROUP, 3):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(toxicity, "GROUP", group)
+            chance, moves, log_partition = toxicity.marginals(scores, rows, move)
+        assert np.allclose(chance, np.concatenate(expected)) and np.isclose(log_partition, total)
+        assert np.isclose(moves.sum(), sum(max(0, n - 1) for n in sizes))
+    none = toxicity.marginals(np.empty(0), np.array([0, 0, 0]), move)
+    assert len(none[0]) == 0 and none[2] == 0
+
+
+def test_sample_keeps_its_bounds(spark, monkeypatch):
+    """One text of a repeated id enters the fit, and texts beyond the bound in bytes do not."""
+    taken = []
+    monkeypatch.setattr(toxicity, "token_labels", lambda words, toxic: taken.append(np.diff(words.rows)) or np.zeros(len(words.hashes), int))
+    ids = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 5][:3]
+    docs = [(ids[0], f"word{k} again") for k in range(500)] + [(ids[1], "a good text"), (ids[2], "long " * 3000)]
+    labels = spark.createDataFrame([(ids[0], 1), (ids[1], 0), (ids[2], 0)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    toxicity.fit(docs, labels)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 10_000)
+    toxicity.fit(docs, labels)
+    assert [sorted(t.tolist()) for t in taken] == [[2, 3, 3000], [2, 3]]
+
+
 def test_plain_pages_keep_their_text(spark):
     plain = "<html><body><nav><a href=/>Home</a><a href=/b>More</a></nav><h1>Title</h1><p>First words.</p><div>Second <b>words</b>.</div><footer>made by us</footer></body></html>"
     df = spark.createDataFrame([(1, plain), (2, "<p>Only this.</p>"), (3, None)], "page_id long, html string")
