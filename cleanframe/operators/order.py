@@ -3,8 +3,9 @@
 A window without keys would move the whole table into one task, and a window by key
 would do so with the rows of a hot key. Both are avoided in the same way: the table is
 cut into *chunks* that follow the order, each chunk is handled on its own, and what has
-to cross a chunk border (the last value seen, the row count) is carried over in a table
-with about one row per chunk.
+to cross a chunk border is carried over in a table with about one row per chunk. Only places
+and row counts, numbers of a fixed size, are put in order there; the values stay in a table
+with the ends of each chunk and are fetched from it by joins on the chunk.
 
 Chunk borders come from a range partitioning, whose sampled borders differ from run to
 run; so the cut table is written once to the scratch folder and every later step reads
@@ -56,7 +57,8 @@ def cut(
         place = quoted(position)
         chunk = F.floor(place / F.lit(rows_per_chunk))
         return Chunks(df.withColumns({CHUNK: chunk, INDEX: place.cast("long")}), None, keys, True)
-    n = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = chunks or max(least, -(-df.select().count() // rows_per_chunk))
     order = [quoted(k) for k in keys] + [quoted(o) if isinstance(o, str) else o for o in order_by]
     sorted_parts = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     numbered = sorted_parts.withColumns({
@@ -82,21 +84,22 @@ def with_position(
     return placed.withColumn(name, F.col("__before") + F.col(INDEX)).drop(CHUNK, INDEX, "__before", "__size")
 
 
-def _carried(chunks: Chunks, columns: list[str]) -> DataFrame:
-    """Per chunk (and key): what the chunks before and after it hand over.
+def _carried(chunks: Chunks, methods: dict[str, str]) -> DataFrame:
+    """Per chunk, an array ``__hand`` of what the chunks before and after it hand over.
 
     With keys only the first and the last key of a chunk can continue elsewhere, so the
-    table keeps at most two rows per chunk.
+    array has at most two entries.
     """
     t, keys = chunks.df, [quoted(k) for k in chunks.keys]
-    measures = [F.min(INDEX).alias("__first"), F.max(INDEX).alias("__last"), F.count(F.lit(1)).alias("__size")]
-    for i, name in enumerate(columns):
+    named = [k.alias(f"__k{j}") for j, k in enumerate(keys)]
+    measures = [F.min(INDEX).alias("__first"), F.max(INDEX).alias("__last")]
+    for i, (name, method) in enumerate(methods.items()):
         seen = F.when(quoted(name).isNotNull(), F.col(INDEX))
-        measures += [
-            F.min(seen).alias(f"__fi{i}"), F.min_by(quoted(name), seen).alias(f"__fv{i}"),
-            F.max(seen).alias(f"__li{i}"), F.max_by(quoted(name), seen).alias(f"__lv{i}"),
-        ]
-    ends = t.groupBy(CHUNK, *keys).agg(*measures)
+        if method != "backward":
+            measures += [F.max(seen).alias(f"__prev_at{i}"), F.max_by(quoted(name), seen).alias(f"__prev_v{i}")]
+        if method != "forward":
+            measures += [F.min(seen).alias(f"__next_at{i}"), F.min_by(quoted(name), seen).alias(f"__next_v{i}")]
+    ends = t.groupBy(CHUNK, *named).agg(*measures)
     if chunks.keys:
         span = t.groupBy(CHUNK).agg(F.min(INDEX).alias("__from"), F.max(INDEX).alias("__to"))
         ends = ends.join(chunks.small(span), CHUNK).where("__first = __from or __last = __to")
@@ -104,18 +107,31 @@ def _carried(chunks: Chunks, columns: list[str]) -> DataFrame:
         ends = ends.withColumn("__before", F.lit(0).cast("long"))
     else:
         ends = ends.join(chunks.small(_offsets(chunks).drop("__size")), CHUNK)
-    w = Window.partitionBy(*keys).orderBy(CHUNK)
-    back = w.rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy(*keys).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    carried = []
-    for i, _ in enumerate(columns):
-        last = F.when(F.col(f"__li{i}").isNotNull(), F.struct((F.col("__before") + F.col(f"__li{i}")).alias("at"), F.col(f"__lv{i}").alias("v")))
-        first = F.when(F.col(f"__fi{i}").isNotNull(), F.struct((F.col("__before") + F.col(f"__fi{i}")).alias("at"), F.col(f"__fv{i}").alias("v")))
-        carried += [
-            F.last(last, ignorenulls=True).over(back).alias(f"__prev{i}"),
-            F.last(first, ignorenulls=True).over(ahead).alias(f"__next{i}"),
-        ]
-    return ends.select(CHUNK, *keys, F.col("__before"), *carried)
+    ends = write_table(ends, "ends")
+
+    names = [f"__k{j}" for j in range(len(keys))]
+    before = Window.partitionBy(*names).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*names).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sides = [(side, i) for i in range(len(methods)) for side in ("prev", "next") if f"__{side}_at{i}" in ends.columns]
+    places = [
+        F.last(
+            F.when(F.col(f"__{side}_at{i}").isNotNull(), F.struct((F.col("__before") + F.col(f"__{side}_at{i}")).alias("at"), F.col(CHUNK).alias("chunk"))),
+            ignorenulls=True,
+        ).over(before if side == "prev" else after).alias(f"__{side}{i}")
+        for side, i in sides
+    ]
+    found = ends.select(CHUNK, *names, "__before", *places)
+    for side, i in sides:
+        place, from_ = f"__{side}{i}", [F.col(k).alias(f"__from{j}") for j, k in enumerate(names)]
+        values = ends.where(F.col(f"__{side}_at{i}").isNotNull()).select(F.col(CHUNK).alias("__from"), *from_, F.col(f"__{side}_v{i}").alias("__v"))
+        match = F.col(f"{place}.chunk") == F.col("__from")
+        for j, k in enumerate(names):
+            match = match & F.col(k).eqNullSafe(F.col(f"__from{j}"))
+        found = found.join(values, match, "left").withColumn(
+            place, F.when(F.col("__from").isNotNull(), F.struct(F.col(f"{place}.at").alias("at"), F.col("__v").alias("v"))))
+        found = found.drop("__from", "__v", *(f"__from{j}" for j in range(len(names))))
+    # At most two entries a chunk
+    return found.groupBy(CHUNK).agg(F.collect_list(F.struct(*names, "__before", *(f"__{side}{i}" for side, i in sides))).alias("__hand"))
 
 
 def fill_ordered(
@@ -134,50 +150,46 @@ def fill_ordered(
     parts = cut(df, order_by or [], partition_by, chunks, position, rows_per_chunk)
     names = list(methods)
     keys = [quoted(k) for k in parts.keys]
-    carried = _carried(parts, names)
-    if parts.keys:
-        renamed = [F.col(CHUNK).alias("__c")] + [k.alias(f"__k{j}") for j, k in enumerate(keys)]
-        carried = carried.select(*renamed, *[F.col(c) for c in carried.columns if c == "__before" or c.startswith(("__prev", "__next"))])
-        match = F.col(CHUNK) == F.col("__c")
-        for j, k in enumerate(keys):
-            match = match & k.eqNullSafe(F.col(f"__k{j}"))
-        rows = parts.df.join(parts.small(carried), match, "left")
-    else:
-        rows = parts.df.join(parts.small(carried), CHUNK, "left")
+    unknown = set(methods.values()) - {"forward", "backward", "interpolate"}
+    if unknown:
+        raise ValueError(f"unknown ordered fill: {min(unknown)!r}")
 
+    # One shuffle by chunk serves the windows and the join
+    rows = parts.df.repartition(F.col(CHUNK))
     here = [F.col(CHUNK), *keys]
     back = Window.partitionBy(*here).orderBy(INDEX).rowsBetween(Window.unboundedPreceding, 0)
     # The mirrored order keeps the frame growing; a frame to the end would be quadratic
     ahead = Window.partitionBy(*here).orderBy(F.col(INDEX).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    at = F.col("__before") + F.col(INDEX)
+
+    def own_key(entry: Column) -> Column:
+        same = F.lit(True)
+        for j, k in enumerate(keys):
+            same = same & entry[f"__k{j}"].eqNullSafe(k)
+        return same
+
+    hand = F.get(F.filter("__hand", own_key), F.lit(0))
+    # Positions only matter relative to rows of the same key; a key that is inside one chunk
+    # has no entry, and any common offset will do
+    before = F.coalesce(hand["__before"], F.lit(0))
     extra, result = {}, {}
     for i, name in enumerate(names):
         c, method = quoted(name), methods[name]
         if method == "forward":
             extra[f"__p{i}"] = F.last(c, ignorenulls=True).over(back)
-            result[name] = F.coalesce(F.col(f"__p{i}"), F.col(f"__prev{i}.v"))
+            result[name] = F.coalesce(F.col(f"__p{i}"), hand[f"__prev{i}"]["v"])
         elif method == "backward":
             extra[f"__n{i}"] = F.last(c, ignorenulls=True).over(ahead)
-            result[name] = F.coalesce(F.col(f"__n{i}"), F.col(f"__next{i}.v"))
-        elif method == "interpolate":
+            result[name] = F.coalesce(F.col(f"__n{i}"), hand[f"__next{i}"]["v"])
+        else:
             point = F.when(c.isNotNull(), F.struct(F.col(INDEX).alias("at"), c.alias("v")))
             extra[f"__p{i}"] = F.last(point, ignorenulls=True).over(back)
             extra[f"__n{i}"] = F.last(point, ignorenulls=True).over(ahead)
             result[name] = _between(
-                c, dtype_of(df, name), at, F.col("__before"),
-                F.col(f"__p{i}"), F.col(f"__prev{i}"), F.col(f"__n{i}"), F.col(f"__next{i}"),
+                c, dtype_of(df, name), before + F.col(INDEX), before,
+                F.col(f"__p{i}"), hand[f"__prev{i}"], F.col(f"__n{i}"), hand[f"__next{i}"],
             )
-        else:
-            raise ValueError(f"unknown ordered fill: {method!r}")
-    if parts.keys:  # a key inside one chunk has no carried row
-        rows = _with_offsets(parts, rows)
-    return rows.withColumns(extra).withColumns(result).select(*[quoted(n) for n in df.columns])
-
-
-def _with_offsets(parts: Chunks, rows: DataFrame) -> DataFrame:
-    # Positions only matter relative to rows of the same key; without a carried row
-    # all of them are in this chunk, and any common offset will do
-    return rows.withColumn("__before", F.coalesce(F.col("__before"), F.lit(0)))
+    filled = rows.withColumns(extra).join(_carried(parts, methods), CHUNK, "left").withColumns(result)
+    return filled.select(*[quoted(n) for n in df.columns])
 
 
 def _between(c, dtype, at, before, near_prev, far_prev, near_next, far_next) -> Column:

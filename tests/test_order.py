@@ -84,6 +84,33 @@ def test_rows_are_shuffled_by_chunk(data):
     assert "hashpartitioning(__chunk" in text
 
 
+def test_values_cross_many_empty_chunks(spark):
+    """Texts, null keys and chunks without any value between giver and taker."""
+    texts = {3: "a" * 5_000, 40: "b", 170: "c" * 9_000}
+    df = spark.createDataFrame([(i, None if i % 2 else "k", texts.get(i)) for i in range(200)], "i int, k string, s string")
+    got = order.fill_ordered(df, {"s": "forward"}, position="i", rows_per_chunk=10).collect()
+    assert len(got) == 200 and all(r.s == (texts[max(t for t in texts if t <= r.i)] if r.i >= 3 else None) for r in got)
+    back = order.fill_ordered(df, {"s": "backward"}, ["i"], ["k"], chunks=9).collect()
+    for r in back:
+        later = [t for t in texts if t >= r.i and t % 2 == r.i % 2]
+        assert r.s == (texts[min(later)] if later else None)
+
+
+def test_rows_are_shuffled_once_after_the_cut(spark):
+    df = spark.range(3_000).select(F.col("id").alias("ts"), (F.col("id") % 3).alias("k"), F.when(F.col("id") % 5 == 0, F.col("id")).alias("v"))
+    for options in ({"position": "ts", "rows_per_chunk": 100}, {"partition_by": ["k"], "chunks": 8}):
+        text = plan(order.fill_ordered(df, {"v": "interpolate"}, ["ts"], **options))
+        exchanges = [part for part in text.split("\n\n") if "REPARTITION_BY_COL" in part]
+        assert len(exchanges) == 1, text
+
+
+def test_chunks_follow_the_rows(spark):
+    df = spark.range(1_000).select(F.col("id").alias("ts"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert order.cut(df, ["ts"], rows_per_chunk=10).count == 100
+    assert order.cut(df, ["ts"]).count == least
+
+
 def test_first_duplicate_is_cut_before_the_shuffle(data):
     _, df = data
     text = plan(rows.drop_duplicates_on(df, ["k"], ["ts"]))

@@ -71,6 +71,14 @@ def _(t):
     return filled.select("event_id", "value", "event_type")
 
 
+@query("fill_forward_text", """
+    select doc_id, last_value(hidden ignore nulls) over (order by doc_id rows between unbounded preceding and current row) as text
+    from (select doc_id, case when doc_id % 7 >= 3 then text end as hidden from documents)""")
+def _(t):
+    hidden = t.documents.select("doc_id", F.when(F.col("doc_id") % 7 >= 3, F.col("text")).alias("text"))
+    return impute.impute(hidden, ["text"], "forward", order_by=["doc_id"])
+
+
 @query("fill_backward", f"select event_id, round({_B[0]}, 6) as value, {_B[1]} as event_type from dirty_events")
 def _(t):
     filled = impute.impute(t.dirty_events, ["value", "event_type"], "backward", order_by=["ts"])
