@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from cleanframe.schema import quoted
 from cleanframe.session import drop_table, write_table
 
-from .columns import free_name
+from .columns import free_name, with_row_numbers
 
 BLOCK_BYTES = 8192
 BUCKETS = 1 << 20
@@ -134,10 +134,13 @@ def exact_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     )
 
 
-def keep_first(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``df`` with one row of each group of equal texts, the first with the smallest id."""
-    row = free_name(df, "row")
-    numbered = write_table(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+def keep_first(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", stored: bool = False) -> DataFrame:
+    """``df`` with one row of each group of equal texts, the first with the smallest id.
+
+    A ``stored`` table, one whose every pass sees the same rows, is copied only if ids are null or repeated.
+    """
+    numbered, row = with_row_numbers(df, id_column, stored)
     found = groups(identities(numbered, row, id_column, text_column))
-    stay = write_table(found.where("row = keep_row").select(F.col("row").alias(row)), "kept")
-    return numbered.join(stay, row, "left_semi").select(*(quoted(c) for c in df.columns))
+    gone = write_table(found.where("row <> keep_row").select(F.col("row").alias(row)), "dropped")
+    drop_table(found)
+    return numbered.join(gone, row, "left_anti").select(*(quoted(c) for c in df.columns))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from cleanframe.schema import quoted
 from cleanframe.session import drop_table, ship_package, write_table
 
-from .columns import free_name
+from .columns import with_row_numbers
 from .words import chunks, lower, mix, shingle_sets, word_hashes
 
 WIDTH = 5
@@ -264,51 +264,52 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("key", "label")
 
 
-def _numbered(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` with a row number, written, and the number's free name.
-
-    Ids may be null or repeated, and numbers differ from pass to pass.
-    """
-    row = free_name(df, "row")
-    return write_table(df.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
-
-
 def near_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row: ``id``, ``digest`` (of the text), ``class_id`` (smallest id linked to it
     directly or through others) and ``n_links`` (other rows of similarity 0.8 or more)."""
     text = F.coalesce(quoted(text_column).cast("string"), F.lit(""))
-    base, row = _numbered(df.select(quoted(id_column).cast("long").alias("id"), text.alias("text")))
-    return _classes(base, row, "id", "text").select("id", "digest", "class_id", "n_links")
+    base, row = with_row_numbers(df.select(quoted(id_column).cast("long").alias("id"), text.alias("text")), "id", stored=False)
+    return _classes(base, row, "id", "text")[0].select("id", "digest", "class_id", "n_links")
+
+
+def _classes(numbered: DataFrame, row: str, id_column: str, text_column: str) -> tuple[DataFrame, list[DataFrame]]:
+    """What ``near_copies`` returns, with ``row`` and ``stays``: true for one row of each class.
+
+    The tables written on the way come second; they can be dropped once the result is written.
+    """
+    made: list[DataFrame] = []
 
+    def stored(df: DataFrame, purpose: str) -> DataFrame:
+        made.append(write_table(df, purpose))
+        return made[-1]
 
-def _classes(numbered: DataFrame, row: str, id_column: str, text_column: str) -> DataFrame:
-    """What ``near_copies`` returns, with ``row`` and ``stays``: true for one row of each class."""
     ship_package(numbered.sparkSession)
     text = F.coalesce(quoted(text_column).cast("string"), F.lit(""))
     base = numbered.select(quoted(id_column).cast("long").alias("id"), text.alias("text"), quoted(row).alias("row"))
-    profiles = write_table(
+    profiles = stored(
         base.select("id", "text", "row", F.xxhash64("text").alias("digest"))
         .mapInArrow(_profile(runs_needed()), "id long, row long, digest long, key binary, n long, nodes array<long>"), "profiles")
     # The first row is that with the smallest id, and of those the smallest number; null ids come last.
-    sets = write_table(profiles.where("n > 0").groupBy("key").agg(
+    sets = stored(profiles.where("n > 0").groupBy("key").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"), F.count("*").alias("copies"), F.first("nodes").alias("nodes")), "sets")
 
     members = _counted(sets.select("key", F.explode("nodes").alias("node")))
+    made.append(members)
     active = members.select("key").distinct().join(sets.select("key", F.col("first.row").alias("row"), "copies"), "key")
-    active = write_table(active.join(base.select("row", "text"), "row").select("key", "text", "copies"), "active")
+    active = stored(active.join(base.select("row", "text"), "row").select("key", "text", "copies"), "active")
     leaves = members.where(F.col("size") <= LEAF_SETS).select("node", "key")
     big = members.where(F.col("size") > LEAF_SETS)
     for level in range(1, len(RATES)):
         grouped = big.groupBy("key").agg(F.collect_list(F.struct("node", "size")).alias("nodes"))
         children = grouped.join(active.select("key", "text"), "key").select("key", "text", "nodes")
-        rows = write_table(children.mapInArrow(_children(level), "node long, key binary, parent long, parent_size long").distinct(), "children")
-        sizes = write_table(rows.groupBy("node", "parent", "parent_size").agg(F.count("*").alias("size")), "nodes")
+        rows = stored(children.mapInArrow(_children(level), "node long, key binary, parent long, parent_size long").distinct(), "children")
+        sizes = stored(rows.groupBy("node", "parent", "parent_size").agg(F.count("*").alias("size")), "nodes")
         kept = F.sum(F.when(F.col("size") >= DENSE_CHILD * F.col("parent_size"), F.col("size")))
         dense = sizes.groupBy("parent").agg((kept / F.sum("size")).alias("share")).where(F.col("share") >= DENSE_SHARE)
-        dense = write_table(dense.select(F.col("parent").alias("node")), "dense")
+        dense = stored(dense.select(F.col("parent").alias("node")), "dense")
         leaves = leaves.unionByName(big.join(dense, "node", "left_semi").select("node", "key"))
         several = sizes.where("size > 1").join(dense.withColumnRenamed("node", "parent"), "parent", "left_anti").select("node", "size")
-        found = write_table(rows.select("node", "key").join(write_table(several, "nodes"), "node"), "members")
+        found = stored(rows.select("node", "key").join(stored(several, "nodes"), "node"), "members")
         last = level == len(RATES) - 1
         leaves = leaves.unionByName((found if last else found.where(F.col("size") <= LEAF_SETS)).select("node", "key"))
         big = found.where(F.col("size") > LEAF_SETS)
@@ -316,8 +317,8 @@ def _classes(numbered: DataFrame, row: str, id_column: str, text_column: str) ->
     # Of the nodes with the same members one is compared.
     named = leaves.groupBy("node").agg(
         F.count("*").alias("size"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("x"))
-    chosen = write_table(named.groupBy("size", "s", "x").agg(F.min("node").alias("node")).select("node", "size"), "chosen")
-    leaves = write_table(leaves.join(chosen, "node").select(F.col("node").alias("leaf"), "key", "size"), "leaves")
+    chosen = stored(named.groupBy("size", "s", "x").agg(F.min("node").alias("node")).select("node", "size"), "chosen")
+    leaves = stored(leaves.join(chosen, "node").select(F.col("node").alias("leaf"), "key", "size"), "leaves")
     mine = leaves.groupBy("key").agg(F.collect_list("leaf").alias("nodes"))
     rows = leaves.join(mine, "key").join(active, "key")
     count = F.ceil(F.col("size") / F.lit(float(BLOCK_SETS)))
@@ -325,28 +326,33 @@ def _classes(numbered: DataFrame, row: str, id_column: str, text_column: str) ->
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
     rows = rows.select(
         "leaf", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "copies", "nodes", "text")
-    compared = write_table(
+    compared = stored(
         rows.repartition("leaf", "low", "high").sortWithinPartitions("leaf", "low", "high").mapInArrow(_compare, "key binary, links long, root binary"), "links")
 
     links = compared.groupBy("key").agg(F.sum("links").alias("links"))
     labels = components(compared.select("key", "root").distinct())
+    made.append(labels)
     classes = sets.select("key", "first", "copies").join(links, "key", "left").join(labels, "key", "left")
-    classes = write_table(classes.select("key", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "key").alias("label")), "classes")
-    heads = write_table(classes.groupBy("label").agg(F.min("first").alias("head")), "heads")
-    named_sets = write_table(classes.join(heads, "label").select("key", "head", (F.col("copies") - 1 + F.col("links")).alias("n_links")), "classes")
+    classes = stored(classes.select("key", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "key").alias("label")), "classes")
+    heads = stored(classes.groupBy("label").agg(F.min("first").alias("head")), "heads")
+    named_sets = stored(classes.join(heads, "label").select("key", "head", (F.col("copies") - 1 + F.col("links")).alias("n_links")), "classes")
     out = profiles.select("id", "row", "digest", "key").join(named_sets, "key", "left")
     alone = F.col("n_links").isNull()
     return out.select(
         "id", "row", "digest", F.when(alone, F.col("id")).otherwise(F.col("head.id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (alone | (F.col("row") == F.col("head.row"))).alias("stays"))
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (alone | (F.col("row") == F.col("head.row"))).alias("stays")), made
 
 
-def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", stored: bool = False) -> DataFrame:
     """``df`` with one row of each class, one with the smallest id.
 
     Of rows repeated with id and text one stays; a class without ids keeps one of its rows. Texts
-    without words are in no class and all stay.
+    without words are in no class and all stay. A ``stored`` table, one whose every pass sees the same
+    rows, is copied only if ids are null or repeated.
     """
-    numbered, row = _numbered(df)
-    gone = write_table(_classes(numbered, row, id_column, text_column).where(~F.col("stays")).select(F.col("row").alias(row)), "dropped")
+    numbered, row = with_row_numbers(df, id_column, stored)
+    found, made = _classes(numbered, row, id_column, text_column)
+    gone = write_table(found.where(~F.col("stays")).select(F.col("row").alias(row)), "dropped")
+    for part in made:
+        drop_table(part)
     return numbered.join(gone, row, "left_anti").select(*(quoted(c) for c in df.columns))

@@ -1,8 +1,9 @@
 """The corpus pipeline: from raw documents to packed training sequences.
 
-Each stage is written as Parquet and read again as the next one's documents. All but the last
-return the columns of ``documents``. Null texts, empty tables, repeated rows and extra columns
-are handled as the operators' docstrings say.
+Each stage is written as Parquet and read again as the next one's documents, so every pass of a
+stage sees the same rows; the scratch tables it read are dropped then. All but the last return the
+columns of ``documents``. Null texts, empty tables, repeated rows and extra columns are handled as
+the operators' docstrings say.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from cleanframe.llm import decontaminate, exact, nearcopies, packing, quality
 from cleanframe.llm.columns import free_name
 from cleanframe.llm.queries import tokenizer_path
-from cleanframe.session import write_table
+from cleanframe.session import drop_table, write_table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +28,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest id stays."""
-    return exact.keep_first(docs)
+    return exact.keep_first(docs, stored=True)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays."""
-    return nearcopies.keep_one(docs)
+    return nearcopies.keep_one(docs, stored=True)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,6 +62,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = write_table(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        out = stage(spark, docs, sf_dir)
+        docs = write_table(out, name)
+        if k:  # the first reads the documents themselves
+            drop_table(out)
     return STAGES[-1][1](spark, docs, sf_dir)
